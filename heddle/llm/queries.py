@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from heddle.llm.bpe import encoded
 from heddle.llm.decontaminate import contamination, is_contaminated
 from heddle.llm.line_dedup import line_dedup
+from heddle.llm.quality import quality_scores
 from heddle.llm.secrets import secrets
+from heddle.llm.toxicity import THRESHOLD, toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +38,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op10_decontaminate": op10_decontaminate}
+
+
+def _judged(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), THRESHOLD)
+
+
+QUERIES |= {"op2_quality": op2_quality, "op9_toxicity": op9_toxicity}
