@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.bpe import encoded
+from heddle.llm.ctw import scores
 from heddle.llm.decontaminate import contamination, is_contaminated
 from heddle.llm.line_dedup import line_dedup
 from heddle.llm.quality import quality_scores
@@ -53,3 +54,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_quality": op2_quality, "op9_toxicity": op9_toxicity}
+
+
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op1_ctw": op1_ctw}
