@@ -11,6 +11,7 @@ from heddle.llm.decontaminate import contamination, is_contaminated
 from heddle.llm.line_dedup import line_dedup
 from heddle.llm.quality import quality_scores
 from heddle.llm.secrets import secrets
+from heddle.llm.suffixes import without_repeats
 from heddle.llm.toxicity import THRESHOLD, toxicity_scores
 
 
@@ -61,3 +62,12 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_ctw": op1_ctw}
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = without_repeats(table(spark, sf_dir, "documents"))
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return done.select("doc_id", n.alias("n_bytes"), (n - F.length("__kept")).alias("n_removed"), F.size("__spans").cast("long").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
+QUERIES |= {"op8_suffix_array": op8_suffix_array}
