@@ -84,5 +84,5 @@ def held_out(id_sql: str, modulus: int, held: int):
 
 def small_side(df: DataFrame, payload: str, most_bytes: int = 32 << 20) -> DataFrame:
     """df (a written table) with a broadcast hint if `payload`, its widest column, and 64 bytes a row are proven to be under most_bytes; else df as it is, for a shuffled join."""
-    size = df.agg(F.coalesce(F.sum(F.expr(f"length(cast({payload} as binary)) + 64L")), F.lit(0)).alias("b")).first().b
+    size = df.agg(F.coalesce(F.sum(F.expr(f"octet_length(cast({payload} as string)) + 64L")), F.lit(0)).alias("b")).first().b
     return F.broadcast(df) if size <= most_bytes else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heddle.llm.bpe import encoded
 from heddle.llm.ctw import scores
 from heddle.llm.decontaminate import contamination, is_contaminated
+from heddle.llm.jaccard import jaccard_components
 from heddle.llm.line_dedup import line_dedup
 from heddle.llm.quality import quality_scores
 from heddle.llm.secrets import secrets
@@ -71,3 +72,10 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_suffix_array": op8_suffix_array}
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op5_jaccard_join": op5_jaccard_join}
