@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heddle.llm.bpe import encoded
 from heddle.llm.ctw import scores
 from heddle.llm.decontaminate import contamination, is_contaminated
+from heddle.llm.hamming import top_k
 from heddle.llm.jaccard import jaccard_components
 from heddle.llm.line_dedup import line_dedup
 from heddle.llm.quality import quality_scores
@@ -79,3 +80,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_jaccard_join": op5_jaccard_join}
+
+
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+QUERIES |= {"op3_hamming_top_k": op3_hamming_top_k}

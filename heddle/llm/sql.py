@@ -16,4 +16,14 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN item USING (doc_id)
 """
 
-ORACLE_SQL = {"op10_decontaminate": OP10}
+_BITS = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END" for i in range(64))
+
+OP3 = f"""
+WITH c AS (SELECT DISTINCT vec_id, {_BITS} AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+near AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, min(bit_count(xor(q.code, c.code)))::INTEGER AS distance
+  FROM c AS q JOIN c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, rank, neighbour_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INTEGER AS rank FROM near) WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op3_hamming_top_k": OP3, "op10_decontaminate": OP10}
