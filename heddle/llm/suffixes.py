@@ -104,7 +104,8 @@ def suffix_order(s: np.ndarray, covers: int) -> np.ndarray:
     one, two = sample[sample % 3 == 1], sample[sample % 3 == 2]
     behind_one = _place((t[one], rank[one + 1]), (t[rest], rank[rest + 1]))
     behind_two = _place((t[two], t[two + 1], rank[two + 2]), (t[rest], t[rest + 1], rank[rest + 2]))
-    where = behind_one + behind_two + np.arange(len(rest))
+    # suffixes that agree in `covers` numbers may be ranked either way; their places must rise all the same
+    where = np.maximum.accumulate(behind_one + behind_two) + np.arange(len(rest))
     out = np.full(n, -1, np.int64)
     out[where] = rest
     out[out < 0] = sample
@@ -155,7 +156,7 @@ def _segments(width: int, gram: int):
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("anchor", pa.int64()), ("seg", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 4 << 20):
+        for b in pieces(batches, 1 << 20):
             raw, offsets = text_bytes(b.column(2))
             text, lo, hi, at, h = anchored(raw, offsets, width, gram)
             if len(text):
