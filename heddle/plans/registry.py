@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _all() -> None:
-    from heddle.plans import corpus, quality, relational, search, series, texts  # noqa: F401
+    from heddle.plans import corpus, mining, quality, relational, search, series, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
