@@ -59,6 +59,6 @@ def segment_depths(lines: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("doc_id").orderBy("at")
-    s = lines.withColumn("similarity", F.round(T.overlap(F.array_distinct("tokens"), F.array_distinct(F.lag("tokens").over(w))), 4)).drop("tokens")
+    s = lines.withColumn("similarity", F.round(F.coalesce(T.overlap(F.array_distinct("tokens"), F.array_distinct(F.lag("tokens").over(w))), F.lit(0.0)), 4)).drop("tokens")
     depth = (F.lag("similarity").over(w) + F.lead("similarity").over(w)) / 2 - F.col("similarity")
-    return s.withColumn("depth", F.round(F.coalesce(depth, F.lit(0.0)), 4))
+    return s.withColumn("depth", F.round(F.coalesce(depth, F.lit(0.0)), 6))

@@ -63,11 +63,11 @@ def tiered_translation(spark, sf):
 
 @query(f"""WITH l AS (SELECT doc_id, k AS position, {TOK.format('line')} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents)),
 s AS (SELECT doc_id, position, round(CASE WHEN lag(t) OVER w IS NULL OR greatest(len(list_distinct(t)), len(list_distinct(lag(t) OVER w))) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(t), list_distinct(lag(t) OVER w))) / greatest(len(list_distinct(t)), len(list_distinct(lag(t) OVER w))) END, 4) AS similarity FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY position))
-SELECT doc_id, position, similarity, round(coalesce((lag(similarity) OVER w + lead(similarity) OVER w) / 2 - similarity, 0.0), 3) AS depth FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY position)""")
+SELECT doc_id, position, similarity, round(coalesce((lag(similarity) OVER w + lead(similarity) OVER w) / 2 - similarity, 0.0), 6) AS depth FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY position)""")
 def segment_depths(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     out = X.segment_depths(d.select("doc_id", "at", T.tokens(F.col("line")).alias("tokens")))
-    return out.select("doc_id", F.col("at").alias("position"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.round("depth", 3).alias("depth"))
+    return out.select("doc_id", F.col("at").alias("position"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.col("depth"))
 
 
 @query("""SELECT l_orderkey, md5(l_orderkey::VARCHAR || '|' || l_partkey::VARCHAR || '|' || l_returnflag) AS k FROM lineitem WHERE l_linenumber = 1""")

@@ -41,7 +41,7 @@ def evidence_gate_and_routing(spark, sf):
     return K.routed(K.tier_gate(_evidence(spark, sf), _weight(), 2, 0.95), "confidence", 0.97, 0.95)
 
 
-@query(f"""SELECT value, count(DISTINCT source) AS sources, CASE WHEN count(DISTINCT source) >= 4 THEN 0.95 WHEN count(DISTINCT source) = 3 THEN 0.85 WHEN count(DISTINCT source) = 2 THEN 0.7 ELSE 0.5 END AS confidence FROM ({_EV}) GROUP BY 1""")
+@query(f"""SELECT value, count(DISTINCT source) AS sources, (CASE WHEN count(DISTINCT source) >= 4 THEN 0.95 WHEN count(DISTINCT source) = 3 THEN 0.85 WHEN count(DISTINCT source) = 2 THEN 0.7 ELSE 0.5 END)::DOUBLE AS confidence FROM ({_EV}) GROUP BY 1""")
 def source_count_confidence(spark, sf):
     g = _evidence(spark, sf).groupBy("value").agg(F.count_distinct("source").alias("sources"))
     return g.withColumn("confidence", T.source_confidence(F.col("sources")))

@@ -27,7 +27,7 @@ def inverted_index(spark, sf):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
 
 
-@query("""SELECT id, score, pass FROM (SELECT p_partkey AS id, CASE WHEN n = 'small ring' THEN 1.0 WHEN starts_with(n, 'small ring') THEN 0.9 WHEN contains(n, 'small ring') THEN 0.7 WHEN contains(n, 'small') OR contains(n, 'ring') THEN 0.6 END AS score,
+@query("""SELECT id, score::DOUBLE AS score, pass FROM (SELECT p_partkey AS id, CASE WHEN n = 'small ring' THEN 1.0 WHEN starts_with(n, 'small ring') THEN 0.9 WHEN contains(n, 'small ring') THEN 0.7 WHEN contains(n, 'small') OR contains(n, 'ring') THEN 0.6 END AS score,
 CASE WHEN n = 'small ring' THEN 1 WHEN starts_with(n, 'small ring') THEN 2 WHEN contains(n, 'small ring') THEN 3 WHEN contains(n, 'small') OR contains(n, 'ring') THEN 4 END AS pass FROM (SELECT p_partkey, lower(p_name) AS n FROM part)) WHERE score IS NOT NULL ORDER BY score DESC, pass, id LIMIT 200""")
 def lexical_passes(spark, sf):
     return S.lexical(load(spark, sf, "part"), "small ring", "p_name", "p_partkey", 200)

@@ -202,7 +202,7 @@ def record_validator(spark, sf):
     return d.select("doc_id", F.concat(F.when(F.length("text") < 200, "short,").otherwise(""), F.when(~F.col("lang").isin("en", "fr"), "lang").otherwise("")).alias("codes"))
 
 
-@query("""SELECT doc_id, CASE WHEN lower(source) = 'src1' THEN 1.0 WHEN starts_with(lower(source), 'src1') THEN 0.85 WHEN contains(lower(source), 'src1') THEN 0.5 ELSE 0.0 END AS score FROM documents WHERE contains(source, '1')""")
+@query("""SELECT doc_id, (CASE WHEN lower(source) = 'src1' THEN 1.0 WHEN starts_with(lower(source), 'src1') THEN 0.85 WHEN contains(lower(source), 'src1') THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM documents WHERE contains(source, '1')""")
 def relevance_score(spark, sf):
     d = load(spark, sf, "documents").where(F.col("source").contains("1"))
     return d.select("doc_id", T.relevance("src1", F.col("source")).alias("score"))
