@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Spark expression for the share of training rows is built from this: crc32 of the id written as text.
 ID_CRC = "crc32(cast(cast({id} as string) as binary))"
 
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a fresh local one only where the session names none (tests)."""
@@ -28,9 +30,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that this driver has written so far; for a caller whose results are stored. Returns how many."""
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(_WRITTEN)
+    _WRITTEN.clear()
+    return n
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keeps an Arrow batch small even where texts are long; a session that asks for less keeps its own."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -334,5 +334,13 @@ def test_obfuscated_abuse_is_counted():
     assert x[0, NAMES.index("abuse_leet")] > 0 and x[0, NAMES.index("near_second")] > 0
 
 
+def test_written_tables_can_be_dropped(spark):
+    from heddle.llm import common
+
+    common.drop_written(spark)
+    df = common.written(spark.range(3), "some")
+    assert df.count() == 3 and common.drop_written(spark) == 1 and common.drop_written(spark) == 0
+
+
 def test_digest_of_kept_text():
     assert hashlib.sha256(b"").hexdigest() == R.sha("")
