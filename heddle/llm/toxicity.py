@@ -88,7 +88,7 @@ def fit(train: DataFrame, sample: int = SAMPLE):
     if not n:
         return None
     if n > sample:
-        rows = rows.where(f"pmod(xxhash64(doc_id, 17), {n}) < {sample}").limit(sample)
+        rows = rows.where(f"pmod(xxhash64(doc_id, 17), {n}) < {sample + sample // 10}").orderBy(F.expr(f"pmod(xxhash64(doc_id, 17), {n})"), "doc_id").limit(sample)
     got = rows.orderBy("doc_id").select("x", "y").toArrow()
     trees = Boosted().fit(matrix(got["x"]), np.asarray(got["y"]))
     isotonic = calibrated(train, trees.raw)
