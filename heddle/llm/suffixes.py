@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import pieces, small_batches, small_side, text_bytes, written
+from heddle.llm.common import pieces, small_batches, text_bytes, written
 
 WIDTH, GRAM, CROWD = 400, 32, 4000
 _VALUE = np.random.default_rng(19730612).integers(1, 2**63, 256, dtype=np.uint64)
@@ -85,11 +85,19 @@ def suffix_order(s: np.ndarray, covers: int) -> np.ndarray:
     t = np.r_[s, 0, 0, 0].astype(np.int64)
     ones = np.arange(1, n + (n % 3 == 1), 3)
     sampled = np.r_[ones, np.arange(2, n, 3)]
-    a, b, c = t[sampled], t[sampled + 1], t[sampled + 2]
-    order = np.argsort((a << 42) | (b << 21) | c, kind="stable") if t.max() < 1 << 21 else np.lexsort((c, b, a))
-    a, b, c = a[order], b[order], c[order]
+    bits, tops = max(n + 3, 2).bit_length(), max(int(t.max()), 1).bit_length()
+    if 3 * tops + bits <= 63:  # the place itself fits behind the triple: one sort of numbers
+        packed = np.sort((((t[sampled] << tops | t[sampled + 1]) << tops | t[sampled + 2]) << bits) | np.arange(len(sampled)))
+        order, packed = packed & ((1 << bits) - 1), packed >> bits
+    elif 3 * tops <= 63:
+        packed = (t[sampled] << tops | t[sampled + 1]) << tops | t[sampled + 2]
+        order = np.argsort(packed)
+        packed = packed[order]
+    else:
+        order = np.lexsort((t[sampled + 2], t[sampled + 1], t[sampled]))
+        packed = np.cumsum(np.r_[True, np.any([t[sampled + k][order][1:] != t[sampled + k][order][:-1] for k in range(3)], 0)])
     name = np.empty(len(sampled), np.int64)
-    name[order] = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+    name[order] = np.cumsum(np.r_[True, packed[1:] != packed[:-1]])
     if covers <= 3 or name.max() == len(sampled):
         ranked = order
     else:
@@ -99,11 +107,11 @@ def suffix_order(s: np.ndarray, covers: int) -> np.ndarray:
     sample = sampled[ranked]
     sample = sample[sample < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
+    rest = rest[_order((t[rest], rank[rest + 1]), (tops, bits))]
     # merge: each remaining suffix finds its place among the sampled ones of either remainder by (number, rank behind)
     one, two = sample[sample % 3 == 1], sample[sample % 3 == 2]
-    behind_one = _place((t[one], rank[one + 1]), (t[rest], rank[rest + 1]))
-    behind_two = _place((t[two], t[two + 1], rank[two + 2]), (t[rest], t[rest + 1], rank[rest + 2]))
+    behind_one = _place((t[one], rank[one + 1]), (t[rest], rank[rest + 1]), (tops, bits))
+    behind_two = _place((t[two], t[two + 1], rank[two + 2]), (t[rest], t[rest + 1], rank[rest + 2]), (tops, tops, bits))
     # suffixes that agree in `covers` numbers may be ranked either way; their places must rise all the same
     where = np.maximum.accumulate(behind_one + behind_two) + np.arange(len(rest))
     out = np.full(n, -1, np.int64)
@@ -112,8 +120,21 @@ def suffix_order(s: np.ndarray, covers: int) -> np.ndarray:
     return out
 
 
-def _place(sorted_keys: tuple[np.ndarray, ...], keys: tuple[np.ndarray, ...]) -> np.ndarray:
+def _packed(keys: tuple[np.ndarray, ...], bits: tuple[int, ...]) -> np.ndarray:
+    out = keys[0]
+    for k, b in zip(keys[1:], bits[1:], strict=True):
+        out = out << b | k
+    return out
+
+
+def _order(keys: tuple[np.ndarray, ...], bits: tuple[int, ...]) -> np.ndarray:
+    return np.argsort(_packed(keys, bits)) if sum(bits) <= 63 else np.lexsort(keys[::-1])
+
+
+def _place(sorted_keys: tuple[np.ndarray, ...], keys: tuple[np.ndarray, ...], bits: tuple[int, ...]) -> np.ndarray:
     """For each of keys the number of sorted_keys that come before it; both are in order."""
+    if sum(bits) <= 63:
+        return np.searchsorted(_packed(sorted_keys, bits), _packed(keys, bits))
     m = len(sorted_keys[0])
     both = np.lexsort((np.r_[np.ones(m, np.int8), np.zeros(len(keys[0]), np.int8)], *(np.r_[a, b] for a, b in reversed(list(zip(sorted_keys, keys, strict=True))))))
     mine = both >= m
@@ -235,7 +256,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     mixed = groups.where("kinds > 1")
     wanted = mixed.select("one.doc_id", "one.mark", F.struct(F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "anchor", "seg", "n", (F.col("kinds") > crowd).alias("crowded")).alias("w")).groupBy("doc_id", "mark").agg(F.collect_list("w").alias("wanted"), F.count(F.lit(1)).alias("size"))
     wanted = written(wanted, "wanted-segments").withColumnsRenamed({"doc_id": "__doc", "mark": "__mark"})
-    cut = d.join(small_side(wanted, "to_json(wanted)"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark"))).select("text", "wanted")
+    cut = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark"))).select("text", "wanted")
     cut = written(cut.mapInArrow(_cut_out(width), "anchor long, seg binary, n long, crowded boolean, part binary"), "cut-segments").dropDuplicates(["anchor", "seg"])
     usual = cut.where("not crowded").select("anchor", "seg", "part").repartition("anchor").sortWithinPartitions("anchor")
     some = usual.mapInArrow(_sorted_groups(width), "anchor long, seg binary, first long, last long")
@@ -255,7 +276,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with __spans (byte spans that repeat) and __kept (the remaining bytes of the text, binary); other columns unchanged."""
     spans = repeats(docs, id_col, text_col, width, gram, crowd).withColumnsRenamed({"doc_id": "__doc", "mark": "__mark", "spans": "__spans"})
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    joined = docs.join(small_side(spans, "to_json(__spans)"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__mark")), "left")
+    joined = docs.join(spans, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__mark")), "left")
     raw = text.cast("binary")
     gaps = "transform(sequence(0, size(__spans)), i -> struct(if(i = 0, 0L, __spans[i - 1].stop) as start, if(i = size(__spans), length(__raw), __spans[i].start) as stop))"
     kept = f"if(__spans is null, __raw, aggregate({gaps}, cast('' as binary), (a, g) -> concat(a, substring(__raw, cast(g.start + 1 as int), cast(g.stop - g.start as int)))))"
