@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 
 from heddle.llm.common import keyed, pieces, small_batches, text_bytes
 
+#: Bytes of text that are worked on at once; a longer text is a piece of its own.
+PIECE = 1 << 18
+
 #: Words of abuse, lower case without accents, and words that address the reader.
 ABUSE = (
     "idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown clowns dumb fool fools jerk garbage hate "
@@ -146,7 +149,7 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1 << 20):
+        for b in pieces(batches, PIECE):
             x = statistics(*text_bytes(b.column(1))).astype(np.float32)
             ends = np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, x.ravel())], schema=schema)
