@@ -4,7 +4,7 @@ A text is split at special tokens, then by the byte-level pattern into words; ea
 word, one contiguous array holds the part boundaries and a second one the rank of each adjacent pair of parts: the smallest
 rank is found by scanning, its boundary is deleted, and the two neighbouring ranks are looked up anew. Words longer than
 `SCAN` bytes take a heap over a linked list instead, as scanning grows with the square of the length; both give the same
-parts. Words recur, so each worker keeps a bounded table of the words that it has merged.
+parts. Words recur, so each task keeps a bounded table of the words that it has merged; texts are taken in pieces of 1 MB.
 
 The result equals the tokenizers library's encode (no special tokens added) and decode (none skipped). Edge cases: null and
 empty texts have no ids; a special token's string in a text is that token, as in the library; rows are independent, so
@@ -23,13 +23,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from heddle.llm.common import keyed, small_batches
+from heddle.llm.common import keyed, pieces, small_batches
 
 #: The split pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCAN = 256
-#: Words that a worker keeps at most; then it starts anew. About 100 MB.
+#: Words that a task keeps at most; then it starts anew. About 100 MB.
 KEPT_WORDS = 400_000
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 20
 
 
 def default_vocabulary() -> str:
@@ -147,14 +149,17 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         sha = lambda s: hashlib.sha256(s).hexdigest()
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = c.encode(text)
-                back = c.decode(ids)
-                rows.append((doc, len(ids), sha(str(ids)[1:-1].replace(" ", "").encode()), sha(back.encode())) if digests else (doc, len(ids), ids, back))
-            cols = list(zip(*rows, strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+        try:
+            for b in pieces(batches, PIECE):
+                rows = []
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    ids = c.encode(text)
+                    back = c.decode(ids)
+                    rows.append((doc, len(ids), sha(str(ids)[1:-1].replace(" ", "").encode()), sha(back.encode())) if digests else (doc, len(ids), ids, back))
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+        finally:
+            c.known.clear()  # the worker lives on for other stages
 
     kinds = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     return keyed(docs, id_col, text_col).mapInArrow(run, kinds)
