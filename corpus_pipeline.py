@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go from the texts; a document that loses all its text so goes as well."""
-    done = line_dedup(docs)
+    done = line_dedup(docs, extended=True)
     kept = done.where((F.col("__n_deleted") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return kept.withColumn("n_chars", F.when(F.col("__n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

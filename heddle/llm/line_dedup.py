@@ -5,10 +5,14 @@ starts a window: the fewest consecutive non-blank lines that hold `min_words` wo
 line with the smallest hash (the last of equals). Equal windows select the same line, so two runs that share at least
 `min_words` words of whole lines share a selected line hash: the guarantee.
 
+With `extended`, the fewest lines that END at each line and hold `min_words` words are windows too. A common run of at least
+`min_words` words is then covered to its last line: where fewer words than that are left of it, the window that ends at its
+last line lies in it. Without, lines at the end of a run that hold fewer words stay.
+
 1. One pass emits each window with its selected line: (row, first line, last line, selected hash, window hash).
 2. Selected lines that occur at one position only cannot repeat; their windows go. Counts are summed before the shuffle.
 3. Of what is left, the match is extended both ways from the selected line to the whole window by comparing 128 bits of
-   its content; overlapping windows chain to the whole run. The first position (doc_id, line) of each window stays: a
+   its content; overlapping windows chain to the run. The first position (doc_id, line) of each window stays: a
    minimum that is also summed before the shuffle, so that no list of positions and no pair of positions is ever made.
 4. Lines of all other occurrences are deleted from their texts, with the line feed behind them.
 
@@ -33,7 +37,7 @@ MIN_WORDS = 20
 _WINDOWS = "doc_id long, mark long, first int, last int, at int, fingerprint long, key binary"
 
 
-def line_windows(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+def line_windows(text: str, min_words: int, extended: bool = False) -> Iterator[tuple[int, int, int, int, bytes]]:
     """(first line, last line, selected line, its hash, hash of the content) of each window of a text."""
     kept, hashes, words, whole = [], [], [], []
     for k, line in enumerate(text.split("\n")):
@@ -43,25 +47,37 @@ def line_windows(text: str, min_words: int) -> Iterator[tuple[int, int, int, int
             whole.append(digest)
             hashes.append(int.from_bytes(digest[:8], "little", signed=True))
             words.append(len(line.split()))
+
+    def window(start: int, stop: int) -> tuple[int, int, int, int, bytes]:
+        at = min(range(start, stop), key=lambda i: (hashes[i], -i))
+        key = whole[start] if stop - start == 1 else hashlib.blake2b(b"".join(whole[start:stop]), digest_size=16).digest()
+        return kept[start], kept[stop - 1], kept[at], hashes[at], key
+
     stop, held, n = 0, 0, len(kept)
     for start in range(n):
         while stop < n and held < min_words:
             held += words[stop]
             stop += 1
         if held < min_words:
-            return
-        at = min(range(start, stop), key=lambda i: (hashes[i], -i))
-        key = whole[start] if stop - start == 1 else hashlib.blake2b(b"".join(whole[start:stop]), digest_size=16).digest()
-        yield kept[start], kept[stop - 1], kept[at], hashes[at], key
+            break
+        yield window(start, stop)
         held -= words[start]
+    start, held = 0, 0
+    for end in range(n if extended else 0):
+        held += words[end]
+        while held - words[start] >= min_words:
+            held -= words[start]
+            start += 1
+        if held >= min_words and held - words[end] >= min_words:  # else it is met above, or too short
+            yield window(start, end + 1)
 
 
-def _emit(min_words: int):
+def _emit(min_words: int, extended: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("at", pa.int32()), ("fingerprint", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, m, *w) for i, m, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in line_windows(t, min_words)]
+            rows = [(i, m, *w) for i, m, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in line_windows(t, min_words, extended)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -74,11 +90,11 @@ def _without(text: str, spans: list) -> str:
     return "\n".join(x for k, x in enumerate(lines) if k not in gone or not x.strip())
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, extended: bool = False) -> DataFrame:
     """(doc_id, mark, spans): lines to delete per text, as sorted spans (first, last); mark is xxhash64 of the text."""
     small_batches(docs.sparkSession)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    windows = written(d.mapInArrow(_emit(min_words), _WINDOWS), "line-windows")
+    windows = written(d.mapInArrow(_emit(min_words, extended), _WINDOWS), "line-windows")
     place = F.struct("doc_id", "mark", "at")
     several = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fingerprint")
     left = windows.join(several, "fingerprint", "left_semi")
@@ -88,9 +104,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, extended: bool = False) -> DataFrame:
     """docs with later repeated runs deleted from the text, plus __n_deleted (lines); other columns unchanged."""
-    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
+    runs = repeated_runs(docs, id_col, text_col, min_words, extended).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
     text = F.col(f"`{text_col}`")
 
     @F.udf("string")

@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text's digest after line deduplication and the number of deleted lines."""
-    done = line_dedup(table(spark, sf_dir, "documents"))
+    done = line_dedup(table(spark, sf_dir, "documents"), extended=True)
     return done.select("doc_id", F.col("__n_deleted").cast("long").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"))
 
 
