@@ -82,6 +82,13 @@ def vector_ids(spark, sf):
     return d.select("doc_id", F.substring(F.sha2(F.concat(F.lit("m:documents:"), F.col("doc_id").cast("string"), F.lit(":"), F.substring("text", 1, 100)), 256), 1, 32).alias("vector_id"))
 
 
+@query()
+def vector_ids_whole(spark, sf):
+    """The id covers the whole text, so any edit changes it."""
+    d = load(spark, sf, "documents")
+    return d.select("doc_id", F.substring(F.sha2(F.concat(F.lit("m:documents:"), F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), 256), 1, 32).alias("vector_id"))
+
+
 @query("""SELECT user_id, max(ts) AS watermark, greatest(max(ts), TIMESTAMP '2024-01-30') AS effective FROM events GROUP BY 1""")
 def watermarks(spark, sf):
     return load(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("watermark")).withColumn("effective", F.greatest("watermark", F.lit("2024-01-30").cast("timestamp")))

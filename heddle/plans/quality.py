@@ -81,6 +81,12 @@ def boundary_scores(spark, sf):
     return E.boundary_scores(s.where("forall(gold, x -> length(x) > 0) and forall(pred, x -> length(x) > 0)"))
 
 
+@query()
+def boundary_scores_whole(spark, sf):
+    s = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.split("text", " ").alias("gold"), F.split("text", "e ").alias("pred"))
+    return E.boundary_scores(s)
+
+
 @query("""SELECT b, c, round(greatest(abs(b - c) - 1, 0) ** 2 / (b + c), 4) AS chi2 FROM (SELECT count(*) FILTER (WHERE f AND NOT s) AS b, count(*) FILTER (WHERE s AND NOT f) AS c FROM (SELECT l_quantity > 25 AS f, l_discount > 0.05 AS s FROM lineitem))""")
 def mcnemar_test(spark, sf):
     return E.mcnemar(load(spark, sf, "lineitem").select((F.col("l_quantity") > 25).alias("first"), (F.col("l_discount") > 0.05).alias("second")))

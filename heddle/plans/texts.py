@@ -46,6 +46,12 @@ def shingle_pairs(spark, sf):
     return dedup.shingle_pairs(D(spark, sf).select("doc_id", F.substring("text", 1, 200).alias("text")), "doc_id", "text")
 
 
+@query()
+def shingle_pairs_whole(spark, sf):
+    """Over whole texts, which SQL does not express in bounded time."""
+    return dedup.shingle_pairs(D(spark, sf), "doc_id", "text")
+
+
 @query()
 def minhash_lsh_dedup(spark, sf):
     return dedup.minhash_keep_first(D(spark, sf), "doc_id", "text")
@@ -63,6 +69,11 @@ def query_terms(spark, sf):
     return D(spark, sf).select("doc_id", F.array_join(F.slice(F.filter(found, lambda x: ~x.isin(EN)), 1, 2), " ").alias("terms"))
 
 
+@query()
+def query_terms_whole(spark, sf):
+    return D(spark, sf).select("doc_id", F.array_join(T.query_tokens(F.col("text"), EN), " ").alias("terms"))
+
+
 _HITS = "len(list_filter({t}, lambda x: x IN {words}))"
 
 
@@ -103,6 +114,11 @@ def accent_filter_and_slug(spark, sf):
     return D(spark, sf).select("doc_id", T.without_accents(F.col("text")).alias("plain"), T.slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query()
+def accent_filter_and_slug_whole(spark, sf):
+    return D(spark, sf).select("doc_id", T.without_accents(F.col("text")).alias("plain"), T.slug(F.col("text")).alias("slug"))
+
+
 @query("""SELECT doc_id, coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)licen[sc]e|copyright')), chr(10)), '') AS kept FROM documents""")
 def boilerplate_lines(spark, sf):
     return D(spark, sf).select("doc_id", T.without_matching_lines(F.col("text"), "(?i)licen[sc]e|copyright").alias("kept"))
