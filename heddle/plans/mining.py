@@ -72,7 +72,15 @@ def segment_depths(spark, sf):
 
 @query("""SELECT l_orderkey, md5(l_orderkey::VARCHAR || '|' || l_partkey::VARCHAR || '|' || l_returnflag) AS k FROM lineitem WHERE l_linenumber = 1""")
 def composite_key_hash(spark, sf):
-    li = load(spark, sf, "lineitem").where("l_linenumber = 1")
+    return _line_keys(load(spark, sf, "lineitem").where("l_linenumber = 1"))
+
+
+@query()
+def composite_key_hash_whole(spark, sf):
+    return _line_keys(load(spark, sf, "lineitem"))
+
+
+def _line_keys(li):
     return li.select("l_orderkey", F.md5(F.concat(F.col("l_orderkey").cast("string"), F.lit("|"), F.col("l_partkey").cast("string"), F.lit("|"), "l_returnflag")).alias("k"))
 
 

@@ -188,8 +188,17 @@ def set_difference(spark, sf):
 @query("""SELECT DISTINCT least(o_custkey, l_suppkey) AS a, greatest(o_custkey, l_suppkey) AS b, count(*) OVER (PARTITION BY least(o_custkey, l_suppkey), greatest(o_custkey, l_suppkey)) AS n
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 100 AND o_custkey <> l_suppkey""")
 def unordered_pair_counts(spark, sf):
-    o = load(spark, sf, "orders").where("o_custkey < 100").select("o_orderkey", "o_custkey")
-    j = o.join(load(spark, sf, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_custkey <> l_suppkey")
+    return _pair_counts(load(spark, sf, "orders").where("o_custkey < 100"), load(spark, sf, "lineitem"))
+
+
+@query()
+def unordered_pair_counts_whole(spark, sf):
+    return _pair_counts(load(spark, sf, "orders"), load(spark, sf, "lineitem"))
+
+
+def _pair_counts(orders, lines):
+    o = orders.select("o_orderkey", "o_custkey")
+    j = o.join(lines.select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_custkey <> l_suppkey")
     return j.groupBy(F.least("o_custkey", "l_suppkey").alias("a"), F.greatest("o_custkey", "l_suppkey").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -197,7 +206,16 @@ def unordered_pair_counts(spark, sf):
 FROM (SELECT l_orderkey AS o_orderkey, min(l_linenumber) AS l_linenumber, l_partkey FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL)
 WINDOW w AS (PARTITION BY o_orderkey ORDER BY l_linenumber RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING)""")
 def range_context_window(spark, sf):
-    li = load(spark, sf, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    return _range_context(load(spark, sf, "lineitem").where("l_orderkey < 2000"))
+
+
+@query()
+def range_context_window_whole(spark, sf):
+    return _range_context(load(spark, sf, "lineitem"))
+
+
+def _range_context(lines):
+    li = lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
     w = Window.partitionBy("o_orderkey").orderBy("l_linenumber").rangeBetween(-2, -1)
     return li.select("o_orderkey", "l_linenumber", F.count(F.lit(1)).over(w).alias("n_before"), F.coalesce(F.sum("l_partkey").over(w), F.lit(0)).alias("sum_before"))
 

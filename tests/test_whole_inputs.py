@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 
@@ -54,3 +55,31 @@ def test_boundaries_of_whole_texts(spark, texts):
     for i, precision, recall, exact in found(spark, "boundary_scores_whole", at):
         g, p = ends(rows[i].split(" ")), ends(rows[i].split("e "))
         assert (precision, recall, exact) == (round(len(g & p) / len(p), 4), round(len(g & p) / len(g), 4), rows[i].split(" ") == rows[i].split("e "))
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("orders"))
+    o = [(k, k % 300) for k in range(1500, 2600, 100)]
+    li = [(k, n, (k * 7 + n * 3) % 40, (k + n) % 20, "ANR"[n % 3]) for k, _ in o for n in range(1, 6)]
+    spark.createDataFrame(o, "o_orderkey long, o_custkey long").write.parquet(f"{at}/orders.parquet")
+    spark.createDataFrame(li, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{at}/lineitem.parquet")
+    return at, dict(o), li
+
+
+def test_all_orders_are_counted(spark, orders):
+    at, o, li = orders
+    want = Counter((min(o[k], s), max(o[k], s)) for k, _, _, s, _ in li if o[k] != s)
+    assert {(a, b): n for a, b, n in found(spark, "unordered_pair_counts_whole", at)} == want and max(o.values()) >= 100
+    keys = sorted((k, hashlib.md5(f"{k}|{p}|{f}".encode()).hexdigest()) for k, _, p, _, f in li)
+    assert sorted(found(spark, "composite_key_hash_whole", at)) == keys
+
+
+def test_context_of_all_orders(spark, orders):
+    at, _, li = orders
+    first = {}
+    for k, n, p, _, _ in li:
+        first[k, p] = min(n, first.get((k, p), n))
+    near = lambda k, n: [q for (j, q), m in first.items() if j == k and n - 2 <= m <= n - 1]
+    want = sorted((k, n, len(near(k, n)), sum(near(k, n))) for (k, _), n in first.items())
+    assert sorted(found(spark, "range_context_window_whole", at)) == want and max(w[0] for w in want) > 2000
