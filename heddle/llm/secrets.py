@@ -2,14 +2,14 @@
 
 Each text is scanned for three kinds of secrets. Then nested encodings are unwrapped: percent escapes, \\u and \\x escapes,
 base64 (usual and URL alphabet), and gzip, zlib, bzip2 or xz data inside base64. Each decoded layer goes on a worklist, is
-scanned for the same kinds and searched for further encodings, until nothing new comes out; a layer whose content was met
-before in the same text is not entered again, which ends cycles. A match in a layer is mapped back to the span of the
+scanned for the same kinds and searched for further encodings, until nothing new comes out. A layer is not entered again if
+the same content was met at the same place of the text before, which ends cycles; at another place it is. A match in a layer is mapped back to the span of the
 original text that it was decoded from: character by character for escapes, the whole encoded run for base64.
 
 Base matches of a text always stay; layers add spans. Positions are code points, ends exclusive.
 
-Edge cases: null and empty texts have no spans. Whole texts are scanned, one at a time, whatever their length. A compressed
-layer is read up to `MOST_INFLATED` bytes, which is what stops a decompression bomb. Rows are independent: ties, repeated
+Edge cases: null and empty texts have no spans. Whole texts are scanned, one at a time, whatever their length. Compressed
+layers are read whole, all members of them, so a decompression bomb takes the memory of its content. Rows are independent: ties, repeated
 rows, empty tables and other columns have no effect.
 """
 
@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from heddle.llm.common import keyed, small_batches
 
 KINDS = ("assign", "access", "hex")
-MOST_INFLATED = 64 << 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -142,18 +141,29 @@ def _escape(m: re.Match):
 
 def _inflated(raw: bytes) -> bytes | None:
     """What compressed data hold, by their first bytes; None if they are none."""
+    parts = []
+    while (made := _member(raw)) is not None:
+        parts.append(made[0])
+        raw = made[1].lstrip(b"\0")  # members may be padded
+    return b"".join(parts) if parts else None
+
+
+def _member(raw: bytes) -> tuple[bytes, bytes] | None:
+    """The content of the first compressed member and the bytes behind it."""
     try:
         if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MOST_INFLATED)
-        if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, MOST_INFLATED)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MOST_INFLATED)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, MOST_INFLATED)
+            d = zlib.decompressobj(31)
+        elif raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0:
+            d = zlib.decompressobj()
+        elif raw[:3] == b"BZh":
+            d = bz2.BZ2Decompressor()
+        elif raw[:6] == b"\xfd7zXZ\x00":
+            d = lzma.LZMADecompressor()
+        else:
+            return None
+        return d.decompress(raw), d.unused_data
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
-    return None
+        return None
 
 
 def _readable(raw: bytes) -> str | None:
@@ -190,17 +200,20 @@ def _next_layers(layer: _Layer) -> Iterator[_Layer]:
                 yield _Layer(inner, [0], [layer.back(*m.span())], [False])
 
 
+def _mark(layer: _Layer) -> bytes:
+    """A digest of the content of a layer and of where each part of it stands in the original text."""
+    return hashlib.blake2b(repr((layer.at, layer.origin, layer.exact)).encode() + layer.text.encode("utf-8", "surrogatepass")).digest()
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text, each as sorted (start, end, kind number)."""
     base = base_spans(text)
     every = set(base)
-    work, seen = [_Layer(text, [0], [(0, len(text))], [True])], {hashlib.blake2b(text.encode("utf-8", "replace")).digest()}
+    work = [_Layer(text, [0], [(0, len(text))], [True])]
+    seen = {_mark(work[0])}
     while work:
         for new in _next_layers(work.pop()):
-            if (mark := hashlib.blake2b(new.text.encode("utf-8", "replace")).digest()) in seen:
-                if len(new.at) > 1 or not new.text:
-                    continue
-                every.update((*new.back(a, b), k) for a, b, k in base_spans(new.text))  # the same content at another place
+            if not new.text or (mark := _mark(new)) in seen:
                 continue
             seen.add(mark)
             every.update((*new.back(a, b), k) for a, b, k in base_spans(new.text))
