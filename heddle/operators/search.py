@@ -1,4 +1,4 @@
-"""Retrieval: lexical passes, BM25, vectors, hybrid ranking."""
+"""Retrieval: lexical passes, BM25, vectors."""
 
 from __future__ import annotations
 
