@@ -9,7 +9,10 @@ themselves are all verified. The nearest of all shards are ranked at last.
 
 Equal codes are one class: shards hold each code once, with its k + 1 smallest ids, which suffice because ties are ordered by
 id. Queries with one code are answered together. Each block of queries meets each shard in one task, whose memory is bounded
-by the sizes of both; it gives k + 1 rows for a query at most.
+by the sizes of both; it gives `most` rows for a query at most.
+
+An id with several codes may be met in several classes. So `most` is one more than the k largest numbers of codes per id
+together, which are counted first: that many pairs of id and code hold more than k ids. It is k + 1 where ids are unique.
 
 Edge cases: a null vector or id is neither indexed nor asked; numbers beyond the 64th are ignored, missing or null ones count
 as not above zero, so an empty vector has code 0. Rows with one id and one code count once; an id with several codes counts
@@ -124,6 +127,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     """(query_id, rank, neighbour_id, distance): the k nearest of vectors for each of queries, by distance, then id."""
     entries = written(codes(vectors, id_col, vector_col), "codes")
     asked = written(codes(queries, id_col, vector_col), "asked-codes")
+    most = 1 + sum(r["count"] for r in entries.groupBy("id").count().orderBy(F.desc("count")).limit(k).collect())
     # a query may own one id of each class, so k + 1 ids always leave k others
     by_code = Window.partitionBy("code").orderBy("id")
     index = entries.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -133,9 +137,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     stored = index.select(F.expr(f"pmod(xxhash64(code), {shards})").alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), F.lit(False).alias("asks"), "code", F.expr("ids[0]").alias("first_id"), F.size("ids").cast("long").alias("held"))
     sent = q.select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.expr(f"pmod(xxhash64(q, 1), {blocks})").alias("block"), F.lit(True).alias("asks"), F.col("q").alias("code"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("long").alias("held"))
     dealt = stored.unionByName(sent).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
-    found = dealt.mapInArrow(_searched(k + 1, segments), "q long, code long, distance int, first_id long")
+    found = dealt.mapInArrow(_searched(most, segments), "q long, code long, distance int, first_id long")
     rank = Window.partitionBy("q").orderBy("distance", "first_id")
-    best = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k + 1)
+    best = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
     ids = best.join(index, "code").select("q", "distance", F.explode("ids").alias("neighbour_id"))
     near = asked.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(ids, "q").where("neighbour_id <> query_id")
     near = near.groupBy("query_id", "neighbour_id").agg(F.min("distance").alias("distance"))
