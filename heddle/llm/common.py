@@ -18,9 +18,11 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where the session names none (tests)."""
+    """The folder that driver and executors share; where the session names none, a fresh one on a local master (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="heddle-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -87,9 +89,13 @@ def arrow_rows(cols: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
 
+def training_sql(id_sql: str, modulus: int, held: int) -> str:
+    return f"coalesce({ID_CRC.format(id=id_sql)} % {modulus} <> {held}, false)"
+
+
 def training_rows(id_sql: str, modulus: int, held: int):
     """True for rows that a model may learn from: crc32(id as text) mod `modulus` is not `held`; a null id never teaches."""
-    return F.expr(f"coalesce({ID_CRC.format(id=id_sql)} % {modulus} <> {held}, false)")
+    return F.expr(training_sql(id_sql, modulus, held))
 
 
 def held_out(id_sql: str, modulus: int, held: int):
@@ -100,3 +106,18 @@ def small_side(df: DataFrame, payload: str, most_bytes: int = 32 << 20) -> DataF
     """df (a written table) with a broadcast hint if `payload`, its widest column, and 64 bytes a row are proven to be under most_bytes; else df as it is, for a shuffled join."""
     size = df.agg(F.coalesce(F.sum(F.expr(f"octet_length(cast({payload} as string)) + 64L")), F.lit(0)).alias("b")).first().b
     return F.broadcast(df) if size <= most_bytes else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores put before it until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose id is among `gone` (its one column; nulls are equal), with all their columns."""
+    name = free_name(docs, "__gone")
+    gone = small_side(written(gone.toDF(name), "gone-ids"), name)
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"`{name}`")), "left_anti")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import keyed, written
+from heddle.llm.common import keyed, without_ids, written
 
 #: More tokens of the benchmark than these are joined by shuffle; so many take less than 64 MB.
 BROADCAST_TOKENS = 500_000
@@ -98,5 +98,5 @@ def is_contaminated(least_share: int = 20) -> Column:
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = contamination(docs, items, id_col, text_col).where(is_contaminated()).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = contamination(docs, items, id_col, text_col).where(is_contaminated()).select("doc_id").distinct()
+    return without_ids(docs, id_col, bad)

@@ -56,11 +56,15 @@ def matrix(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(len(col), -1).astype(np.float64)
 
 
-def labelled(stats: DataFrame, labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
-    """Training rows (doc_id, x, y, calibrates): those of stats with a label and a remainder that may teach."""
+def teaching(labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
+    """(doc_id, y) of the labelled documents that may teach, once each."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).where("y is not null").where(training_rows("doc_id", modulus, held))
-    y = y.groupBy("doc_id").agg(F.max("y").alias("y"))
-    return stats.join(y, "doc_id").select("doc_id", "x", "y", F.expr("pmod(xxhash64(doc_id), 4) = 0").alias("calibrates"))
+    return y.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def labelled(stats: DataFrame, taught: DataFrame) -> DataFrame:
+    """Training rows (doc_id, x, y, calibrates): those of stats whose document is among `taught`."""
+    return stats.join(taught, "doc_id").select("doc_id", "x", "y", F.expr("pmod(xxhash64(doc_id), 4) = 0").alias("calibrates"))
 
 
 def fit(train: DataFrame, features: int = 192, gamma: float = 0.05, ridge: float = 1e-3, seed: int = 7) -> Model | None:
@@ -95,7 +99,7 @@ def fit(train: DataFrame, features: int = 192, gamma: float = 0.05, ridge: float
 
 
 def calibrated(train: DataFrame, raw) -> Isotonic:
-    """Isotonic map of raw scores, from sums over the calibration rows in bins of 1/1000 (all training rows if there are none)."""
+    """Isotonic map of raw scores, from sums over the calibration rows in bins of 1/1000 (over all training rows if fewer than 20 calibrate, too few to pool)."""
     schema = pa.schema([("calibrates", pa.bool_()), ("bin", pa.int64()), ("y", pa.float64())])
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +127,6 @@ def applied(stats: DataFrame, score) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", modulus: int = 3, held: int = 1) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1, higher: better)."""
     stats = written(with_statistics(docs, id_col, text_col), "quality-statistics")
-    model = fit(written(labelled(stats, labels, label, modulus, held), "quality-training"))
+    model = fit(written(labelled(stats, teaching(labels, label, modulus, held)), "quality-training"))
     scored = applied(stats, model.score) if model else stats.select("doc_id", F.lit(0.5).alias("score"))
     return scored.select("doc_id", held_out("doc_id", modulus, held).alias("held_out"), "score")

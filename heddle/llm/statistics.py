@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from heddle.llm.common import keyed, pieces, small_batches, text_bytes
 
@@ -76,6 +77,47 @@ def _letter_hash(raw: np.ndarray, starts: np.ndarray, word_of: np.ndarray, lette
     return out
 
 
+def word_starts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its text's number."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank, size = _BLANK[raw], np.diff(offsets)
+    edge = np.zeros(len(raw), bool)
+    edge[offsets[:-1][size > 0]] = True
+    starts = np.flatnonzero(~blank & (np.r_[True, blank[:-1]] | edge))
+    return starts, np.repeat(np.arange(len(size)), size)[starts]
+
+
+def folded_words(raw: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first `lengths` letters of each word and of all its letters, look-alike signs read as letters; 0 where there are fewer."""
+    if not len(starts):
+        return np.zeros((0, len(lengths)), np.uint64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(_LEET_LETTER[raw] & ~_BLANK[raw])
+    word = np.searchsorted(starts, at, "right") - 1
+    new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(at) else np.zeros(0, np.int64)
+    begin = np.full(len(starts), len(at))
+    count = np.zeros(len(starts), np.int64)
+    begin[word[new]] = new
+    count[word[new]] = np.diff(np.r_[new, len(at)])
+    value = np.r_[_LEET_VALUE[raw[at]], np.zeros(max(lengths), np.uint64)]
+    out, h = np.zeros((len(starts), len(lengths)), np.uint64), np.zeros(len(starts), np.uint64)
+    for k in range(max(lengths)):
+        h = h + value[begin + k] * _PLACE[k]
+        if k + 1 in lengths:
+            c = lengths.index(k + 1)
+            out[:, c] = np.where(count > k, _spread(h), np.uint64(0))
+    whole = np.zeros(len(starts), np.uint64)
+    if len(at):
+        place = (np.arange(len(at)) - np.repeat(new, np.diff(np.r_[new, len(at)]))) % 64
+        whole[word[new]] = np.add.reduceat(value[: len(at)] * _PLACE[place], new)
+    return out, np.where(count > 0, _spread(whole), np.uint64(0))
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of NAMES for each text of a batch; at most 65,536 texts at a time."""
     n = len(offsets) - 1
@@ -143,15 +185,20 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, x): the statistics of each row's whole text as array<float>."""
+def with_statistics(docs: DataFrame, id_col: str, text_col: str, row_sql: str = "0", more=None) -> DataFrame:
+    """(doc_id, x): the statistics of each row's whole text as array<float>, then more(raw, offsets, row): a matrix, with row from `row_sql` over doc_id."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, PIECE):
-            x = statistics(*text_bytes(b.column(1))).astype(np.float32)
-            ends = np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)
+            raw, offsets = text_bytes(b.column(1))
+            x = statistics(raw, offsets)
+            if more is not None:
+                x = np.c_[x, more(raw, offsets, np.asarray(b.column(2)))]
+            x = x.astype(np.float32)
+            ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, x.ravel())], schema=schema)
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, x array<float>")
+    d = keyed(docs, id_col, text_col)
+    return d.select("doc_id", "text", F.expr(row_sql).cast("int").alias("row")).mapInArrow(run, "doc_id long, x array<float>")

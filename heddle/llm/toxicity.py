@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense statistics of the text, with isotonic calibration.
 
-Statistics: densities of words of abuse (as written, and with look-alike signs read as letters), their nearness to words
-that address the reader, capitals, punctuation and mixed words, and the general shape of the text. The trees are fitted on
+Statistics: densities of a lexicon that is learnt from the teaching rows (words and word beginnings, out of fold; see
+lexicon.py) and of a short list of words of abuse (as written, and with look-alike signs read as letters), their nearness
+to words that address the reader, capitals, punctuation and mixed words, and the general shape of the text. The trees are fitted on
 the driver on a bounded sample of labelled rows (`sample`, chosen by hash of the id, all rows if there are fewer), as the
 boosting rounds need the rows in memory; one training row in four stays out of it and calibrates the scores, over all
 labelled training rows. Every document is scored.
@@ -17,8 +18,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import held_out, written
-from heddle.llm.quality import applied, calibrated, labelled, matrix
+from heddle.llm.common import held_out, keyed, small_side, training_sql, without_ids, written
+from heddle.llm.lexicon import FOLDS, fold_of, learn
+from heddle.llm.quality import applied, calibrated, labelled, matrix, teaching
 from heddle.llm.statistics import with_statistics
 
 SAMPLE = 60_000
@@ -97,13 +99,18 @@ def fit(train: DataFrame, sample: int = SAMPLE):
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1, higher: more likely toxic)."""
-    stats = written(with_statistics(docs, id_col, text_col), "toxicity-statistics")
-    score = fit(written(labelled(stats, labels, label, modulus, held), "toxicity-training"), sample)
+    d = keyed(docs, id_col, text_col)
+    taught = written(teaching(labels, label, modulus, held), "toxicity-labels")
+    lexicon = docs.sparkSession.sparkContext.broadcast(learn(d.join(small_side(taught, "doc_id"), "doc_id")))
+    row = f"if({training_sql('doc_id', modulus, held)}, {fold_of('doc_id')}, {FOLDS})"
+    stats = with_statistics(docs, id_col, text_col, row, lambda raw, offsets, fold: lexicon.value.features(raw, offsets, fold))
+    stats = written(stats, "toxicity-statistics")
+    score = fit(written(labelled(stats, taught), "toxicity-training"), sample)
     scored = applied(stats, score) if score else stats.select("doc_id", F.lit(0.0).alias("score"))
     return scored.select("doc_id", held_out("doc_id", modulus, held).alias("held_out"), "score")
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns. Rows with one id fall together."""
-    bad = toxicity_scores(docs, labels, id_col, text_col).where(F.col("score") >= threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = toxicity_scores(docs, labels, id_col, text_col).where(F.col("score") >= threshold).select("doc_id").distinct()
+    return without_ids(docs, id_col, bad)
