@@ -241,10 +241,10 @@ def test_hamming_equals_brute_force(spark):
     assert hamming.top_k(df, df.limit(0)).count() == 0
 
 
-def test_ctw_is_a_distribution_and_both_ways_agree(spark, mixed):
+def test_ctw_is_a_distribution_and_parts_of_any_size_agree(spark, mixed):
     rows = [(i, (t or None) and t[:400]) for i, t in mixed]
     few = {r.doc_id: r for r in ctw.scores(frame(spark, rows), depth=3).collect()}
-    apart = {r.doc_id: r for r in ctw.scores(frame(spark, rows), depth=3, broadcast_keys=0).collect()}
+    apart = {r.doc_id: r for r in ctw.scores(frame(spark, rows), depth=3, part=500).collect()}
     learnt = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     tokens = lambda t: [*re.findall(R.BLANK, R.low(t)), None]
     count = Counter(w for t in learnt for w in tokens(t))
@@ -284,6 +284,45 @@ def test_ctw_sums_to_one_and_equals_a_small_model(spark):
         assert abs(got[i] - total) < 1e-9
 
 
+def test_ctw_of_order_four_equals_the_definition(spark):
+    """All orders, seen and unseen contexts, held-out texts: against nodes kept in a dictionary."""
+    rnd, depth = random.Random(4), 4
+    rows = [(k, words(rnd, rnd.randrange(0, 30), "abc")) for k in range(40)]
+    counts = {}
+
+    def decisions(t):
+        line = b"\0" * depth + t.encode() + b"\0"
+        for at in range(depth, len(line)):
+            for k in range(8):
+                yield [(line[at - d : at], (1 << k) | (line[at] >> (8 - k))) for d in range(depth + 1)], (line[at] >> (7 - k)) & 1
+
+    for i, t in rows:
+        for path, bit in decisions(t):
+            for node in path:
+                counts.setdefault(node, [0, 0])[bit] += zlib.crc32(str(i).encode()) % 7 != 2
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+    below, log_w = {}, {}
+    for d in range(depth, -1, -1):
+        for node in [n for n in counts if len(n[0]) == d]:
+            own = kt(*counts[node])
+            log_w[node] = own if d == depth else math.log((math.exp(own) + math.exp(below[node])) / 2)
+            if d:
+                up = (node[0][1:], node[1])
+                below[up] = below.get(up, 0.0) + log_w[node]
+    got = {r.doc_id: r.score for r in ctw.scores(frame(spark, rows), depth=depth, part=300).collect()}
+    for i, t in rows:
+        total = 0.0
+        for path, bit in decisions(t):
+            seen = [n for n in path if sum(counts[n])]
+            p = None
+            for node in reversed(seen):
+                own = (counts[node][bit] + 0.5) / (sum(counts[node]) + 1)
+                share = math.exp(kt(*counts[node]) - math.log(2) - log_w[node])
+                p = own if p is None else share * own + (1 - share) * p
+            total += math.log10(p)
+        assert abs(got[i] - total) < 1e-8
+
+
 def test_ctw_edges(spark):
     assert ctw.scores(frame(spark, [])).count() == 0
     got = ctw.scores(frame(spark, [(None, "a"), (None, None), (1, ""), (1, "")])).collect()
