@@ -37,7 +37,7 @@ from heddle.llm.common import held_out, keyed, pieces, small_batches, text_bytes
 #: Context bytes: at most 6, so that a key of context and byte, and whether it is learnt from, fit in 64 bits.
 DEPTH = 6
 SPLIT = 3
-PIECE, STEP = 12 << 20, 1 << 19
+PIECE, STEP = 24 << 20, 1 << 19
 #: Bytes of text for each part of the model.
 PART = 8 << 20
 #: Keys of one part that are worked on at once; a subtree is never cut.
@@ -134,8 +134,12 @@ def _in_pieces(depth: int, parts: int):
 
     def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys and training counts of sorted (key << 1 | learnt)."""
-        new = np.flatnonzero(np.r_[True, (key[1:] >> np.uint64(1)) != (key[:-1] >> np.uint64(1))])
-        return key[new] >> np.uint64(1), np.add.reduceat((key & np.uint64(1)).astype(np.int64), new)
+        new = np.ones(len(key), bool)
+        for i in range(1, len(key), 1 << 20):  # by and by: temporary arrays stay small
+            new[i : i + (1 << 20)] = key[i : i + (1 << 20)] ^ key[i - 1 : min(i + (1 << 20), len(key)) - 1] > 1
+        new = np.flatnonzero(new)
+        n = np.add.reduceat((key & np.uint64(1)).astype(np.uint8), new, dtype=np.int64)
+        return key[new] >> np.uint64(1), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, task, k = [], 0, TaskContext.get().partitionId() << 32, 0
@@ -149,13 +153,13 @@ def _in_pieces(depth: int, parts: int):
             raw = sink.getvalue()
             rows.append((task + k, _TEXTS, -1, raw.size, b"", pa.compress(raw, "zstd", asbytes=True)))
             for kind, make in ((_BYTES, lambda r, o: byte_keys(r, o, depth)), (_WORDS, word_keys)):
-                found = []
+                found, upto = np.empty(sum(b.column(1).nbytes + b.num_rows for b in held), np.uint64), 0  # room for the largest number of keys
                 for b in pieces(iter(held), STEP):
                     key, doc = make(*text_bytes(b.column(1)))
                     learnt = np.asarray(b.column(2).to_numpy(zero_copy_only=False), np.uint64)[doc]
-                    found.append((key << np.uint64(1) if kind == _BYTES else key & ~np.uint64(1)) | learnt)
-                key = np.concatenate(found)
-                del found
+                    found[upto : upto + len(key)] = (key << np.uint64(1) if kind == _BYTES else key & ~np.uint64(1)) | learnt
+                    upto += len(key)
+                key = found[:upto]
                 key.sort()
                 key, n = distinct(key)
                 part = _parts_of(kind, key, depth, parts)
