@@ -11,8 +11,9 @@ last line lies in it. Without, lines at the end of a run that hold fewer words s
 
 1. One pass emits each window with its selected line: (row, first line, last line, selected hash, window hash).
 2. Selected lines that occur at one position only cannot repeat; their windows go. Counts are summed before the shuffle.
-3. Of what is left, the match is extended both ways from the selected line to the whole window by comparing 128 bits of
-   its content; overlapping windows chain to the run. The first position (doc_id, line) of each window stays: a
+3. Positions of one selected line join. A pair of positions is never made: every window that selects the line is one way
+   to extend it to both sides, and positions whose extension agrees (128 bits of its content) meet. Windows that overlap
+   chain to the whole run, whichever earlier text each of them comes from. The first position (doc_id, line) of each window stays: a
    minimum that is also summed before the shuffle, so that no list of positions and no pair of positions is ever made.
 4. Lines of all other occurrences are deleted from their texts, with the line feed behind them.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import small_batches, written
+from heddle.llm.common import free_name, small_batches, written
 
 MIN_WORDS = 20
 _WINDOWS = "doc_id long, mark long, first int, last int, at int, fingerprint long, key binary"
@@ -105,15 +106,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, extended: bool = False) -> DataFrame:
-    """docs with later repeated runs deleted from the text, plus __n_deleted (lines); other columns unchanged."""
-    runs = repeated_runs(docs, id_col, text_col, min_words, extended).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
-    text = F.col(f"`{text_col}`")
-
-    @F.udf("string")
-    def cut(value, spans):
-        return value if spans is None else _without(value, spans)
-
-    joined = docs.join(runs, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text.cast("string")) == F.col("__mark")), "left")
-    gone = F.coalesce(F.expr("aggregate(__spans, struct(0 as n, -1 as upto), (a, s) -> struct(a.n + greatest(s.last - greatest(s.first - 1, a.upto), 0) as n, greatest(a.upto, s.last) as upto), a -> a.n)"), F.lit(0))
-    new = [F.when(F.col("__spans").isNull(), text.cast("string")).otherwise(cut(text.cast("string"), F.col("__spans"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*new, gone.alias("__n_deleted"))
+    """docs with later repeated runs deleted from the text, plus __n_deleted (lines; under a longer name where docs has that one, always the last column); other columns unchanged."""
+    doc, mark, spans, deleted = (free_name(docs, n) for n in ("__doc", "__mark", "__spans", "__n_deleted"))
+    runs = repeated_runs(docs, id_col, text_col, min_words, extended).toDF(doc, mark, spans)
+    text = F.col(f"`{text_col}`").cast("string")
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else _without(t, r) for t, r in zip(texts.to_pylist(), runs.to_pylist(), strict=True)], pa.string())
+
+    joined = docs.join(runs, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(mark)), "left")
+    gone = F.coalesce(F.expr(f"aggregate({spans}, struct(0 as n, -1 as upto), (a, s) -> struct(a.n + greatest(s.last - greatest(s.first - 1, a.upto), 0) as n, greatest(a.upto, s.last) as upto), a -> a.n)"), F.lit(0))
+    changed = F.when(F.col(spans).isNotNull(), text)
+    new = [F.coalesce(cut(changed, F.col(spans)), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*new, gone.alias(deleted))

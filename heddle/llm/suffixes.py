@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from heddle.llm.common import pieces, small_batches, text_bytes, written
+from heddle.llm.common import free_name, pieces, small_batches, text_bytes, written
 
 WIDTH, GRAM, CROWD = 400, 32, 4000
 _VALUE = np.random.default_rng(19730612).integers(1, 2**63, 256, dtype=np.uint64)
@@ -268,16 +269,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     whole = groups.where("n > 1").select("anchor", "seg", F.lit(None).cast("array<struct<first:long,last:long>>").alias("parts"))
     hit = found.join(whole.unionByName(some), ["anchor", "seg"])
     spans = hit.select("doc_id", "mark", F.explode(F.expr(f"if(parts is null, array(struct(lo as start, hi + {width} as stop)), transform(parts, p -> struct(lo + p.first as start, lo + p.last + {width} as stop)))")).alias("s"))
-    merged = "aggregate(array_sort(collect_set(s)), cast(array() as array<struct<start:long,stop:long>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).stop >= x.start, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).stop, x.stop) as stop))), concat(a, array(x))))"
-    return written(spans.groupBy("doc_id", "mark").agg(F.expr(merged).alias("spans")), "repeat-spans")
+    # maximal spans: a span begins where no earlier one reaches
+    ahead = Window.partitionBy("doc_id", "mark").orderBy("s.start", "s.stop").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id", "mark").orderBy("s.start", "s.stop")
+    runs = spans.withColumn("new", F.coalesce((F.max("s.stop").over(ahead) < F.col("s.start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(upto))
+    runs = runs.groupBy("doc_id", "mark", "run").agg(F.struct(F.min("s.start").alias("start"), F.max("s.stop").alias("stop")).alias("s"))
+    return written(runs.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("s")).alias("spans")), "repeat-spans")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """docs with __spans (byte spans that repeat) and __kept (the remaining bytes of the text, binary); other columns unchanged."""
-    spans = repeats(docs, id_col, text_col, width, gram, crowd).withColumnsRenamed({"doc_id": "__doc", "mark": "__mark", "spans": "__spans"})
+    """docs with __spans (byte spans that repeat) and __kept (the remaining bytes of the text, binary); other columns unchanged. Where docs has these names, the two last columns bear longer ones."""
+    doc, mark, spans_name, kept_name, raw_name = (free_name(docs, n) for n in ("__doc", "__mark", "__spans", "__kept", "__raw"))
+    spans = repeats(docs, id_col, text_col, width, gram, crowd).toDF(doc, mark, spans_name)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    joined = docs.join(spans, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__mark")), "left")
-    raw = text.cast("binary")
-    gaps = "transform(sequence(0, size(__spans)), i -> struct(if(i = 0, 0L, __spans[i - 1].stop) as start, if(i = size(__spans), length(__raw), __spans[i].start) as stop))"
-    kept = f"if(__spans is null, __raw, aggregate({gaps}, cast('' as binary), (a, g) -> concat(a, substring(__raw, cast(g.start + 1 as int), cast(g.stop - g.start as int)))))"
-    return joined.withColumn("__raw", raw).withColumn("__kept", F.expr(kept)).select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("__spans", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")).alias("__spans"), "__kept")
+    joined = docs.join(spans, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(mark)), "left")
+    gaps = f"transform(sequence(0, size({spans_name})), i -> substring({raw_name}, cast(if(i = 0, 0L, {spans_name}[i - 1].stop) + 1 as int), cast(if(i = size({spans_name}), length({raw_name}), {spans_name}[i].start) - if(i = 0, 0L, {spans_name}[i - 1].stop) as int)))"
+    # the parts are joined as hexadecimal text, which is linear in their number
+    kept = f"if({spans_name} is null, {raw_name}, unhex(array_join(transform({gaps}, g -> hex(g)), '')))"
+    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
+    return joined.withColumn(raw_name, text.cast("binary")).withColumn(kept_name, F.expr(kept)).select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(spans_name, none).alias(spans_name), kept_name)

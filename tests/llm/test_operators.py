@@ -383,3 +383,38 @@ def test_written_tables_can_be_dropped(spark):
 
 def test_digest_of_kept_text():
     assert hashlib.sha256(b"").hexdigest() == R.sha("")
+
+
+def test_jaccard_of_growing_snapshots(spark):
+    """Each text is one word longer than the last: a tree as deep as there are texts, one component, counted links."""
+    base = [f"w{k}" for k in range(1, 1300)]
+    rows = [(k, " ".join(base[: 600 + k])) for k in range(600)]
+    got = {r.doc_id: r for r in jaccard_components(frame(spark, rows)).collect()}
+    assert all(r.component_id == 0 and r.n_shingles == 596 + r.doc_id for r in got.values())
+    size = {k: 596 + k for k in range(600)}
+    for k in (0, 10, 300, 599):
+        assert got[k].n_links == sum(j != k and 100 * min(size[k], size[j]) >= 80 * max(size[k], size[j]) for j in size)
+
+
+def test_jaccard_counts_links(spark, mixed):
+    sets = {i: R.shingle_set(t) for i, t in mixed}
+    want = {i: sum(j != i and bool(s) and bool(t) and 100 * len(s & t) >= 80 * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+    for most in (4000, 3):
+        got = {r.doc_id: r.n_links for r in jaccard_components(frame(spark, mixed), most=most).collect()}
+        assert got == want
+
+
+NAMES = "__doc __mark __spans __n_deleted __gone __kept __raw __bad".split()
+
+
+def test_inner_names_may_clash(spark):
+    """Extra columns under the names that operators use inside pass through unchanged."""
+    long = " ".join(map(str, range(30)))
+    df = frame(spark, [(1, long), (2, long), (3, None)])
+    for n in NAMES:
+        df = df.withColumn(n, F.lit(n))
+    labels = frame(spark, [(1, 0), (2, 1)], "doc_id long, toxic int")
+    items = frame(spark, [(1, long)], "item_id long, text string")
+    for done in (line_dedup.line_dedup(df), suffixes.without_repeats(df, width=40), one_of_each(df), decontaminated(df, items), toxicity.not_toxic(df, labels)):
+        assert done.columns[: len(df.columns)] == df.columns
+        assert all(r[n] == n for r in done.collect() for n in NAMES)
