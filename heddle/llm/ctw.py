@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from heddle.llm.common import held_out, keyed, pieces, small_batches, text_bytes, training_rows, written
 
 #: Context bytes: at most 6, so that a key of context and byte, and whether it is learnt from, fit in 64 bits.
-DEPTH = 6
+DEPTH = 5
 SPLIT = 3
-PIECE, STEP = 24 << 20, 1 << 19
+PIECE, STEP = 8 << 20, 1 << 19
 #: Bytes of text for each part of the model.
 PART = 8 << 20
 #: Keys of one part that are worked on at once; a subtree is never cut.
