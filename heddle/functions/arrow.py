@@ -128,9 +128,9 @@ def chunker(most: int = 1200):
 
 
 def sentence_bleu(hypothesis: str, reference: str, orders: int = 4) -> float:
-    """Clipped n-gram precisions with one added above the first order, brevity penalty; orders without n-grams count as 1."""
-    h, r = hypothesis.split(), reference.split()
-    if not h or not r:
+    """Clipped n-gram precisions of lower-cased words with one added in every order, brevity penalty; orders without n-grams count as 1."""
+    h, r = hypothesis.lower().split(), reference.lower().split()
+    if not h:
         return 0.0
     total = 0.0
     for n in range(1, orders + 1):
@@ -139,25 +139,19 @@ def sentence_bleu(hypothesis: str, reference: str, orders: int = 4) -> float:
         if not seen:
             continue
         met = sum(min(c, b[g]) for g, c in a.items())
-        p = met / seen if n == 1 else (met + 1) / (seen + 1)
-        if not p:
-            return 0.0
-        total += math.log(p)
+        total += math.log((met + 1) / (seen + 1))
     return math.exp(total / orders) * min(1.0, math.exp(1 - len(r) / len(h)))
 
 
 def chrf(hypothesis: str, reference: str, orders: int = 6, beta: float = 3.0) -> float:
-    """Mean F-beta of character n-grams without blanks."""
-    h, r = hypothesis.replace(" ", ""), reference.replace(" ", "")
+    """F-beta of the mean precision and recall of lower-cased character n-grams, blanks included; an order without n-grams counts as 0."""
+    h, r = hypothesis.lower(), reference.lower()
     precision, recall = [], []
     for n in range(1, orders + 1):
         a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (h, r))
-        if a and b:
-            met = sum((a & b).values())
-            precision.append(met / sum(a.values()))
-            recall.append(met / sum(b.values()))
-    if not precision:
-        return 0.0
+        met = sum((a & b).values())
+        precision.append(met / sum(a.values()) if a else 0.0)
+        recall.append(met / sum(b.values()) if a and b else 0.0)
     p, q = sum(precision) / len(precision), sum(recall) / len(recall)
     return 0.0 if p + q == 0 else (1 + beta**2) * p * q / (beta**2 * p + q)
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 #: Letters of the canonical tokenizer and of the query tokenizer.
 TOKEN = "[a-zà-ɏ'-]+"
 QUERY_TOKEN = "[a-z0-9]+"
-#: Accented letters that the Latin filter removes.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿ"
+#: Accented letters that the Latin filter removes, in either case.
+ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿ"
 #: Signs of broken encodings and their repairs.
-BROKEN = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " "}
+BROKEN = {"\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2018": "'", "\u2019": "'", "\u200b": "", "\ufeff": ""}
 
 
 def is_blank(c: Column) -> Column:
@@ -74,10 +74,10 @@ def density(array: Column, strong: list[str], medium: list[str], weak: list[str]
 
 
 def without_noisy_lines(c: Column, threshold: float = 0.30, least: int = 5) -> Column:
-    """Blank lines stay; lines below `least` characters or with too few letters go."""
+    """Blank lines stay; lines below `least` characters or with too few letters for their stripped length go."""
     def fine(line: Column) -> Column:
-        letters = F.length(F.regexp_replace(line, "[^A-Za-zÀ-ɏ ]", ""))
-        return (F.trim(line) == "") | ((F.length(F.trim(line)) >= least) & (1 - letters / F.length(line) <= threshold))
+        letters, size = F.length(F.regexp_replace(line, r"[^\p{L}]", "")), F.length(F.trim(line))
+        return (F.trim(line) == "") | ((size >= least) & (1 - letters / size <= threshold))
 
     return F.array_join(F.filter(F.split(c, "\n"), fine), "\n")
 
@@ -88,13 +88,14 @@ def without_matching_lines(c: Column, pattern: str) -> Column:
 
 
 def repaired(c: Column) -> Column:
-    """Typographic quotes, dashes and hard spaces become plain ones."""
-    return F.translate(c, "".join(BROKEN), "".join(BROKEN.values()))
+    """Typographic quotes and dashes become plain ones; zero-width spaces and byte order marks go."""
+    signs = sorted(BROKEN, key=lambda x: BROKEN[x] == "")  # translate() deletes signs without a partner
+    return F.translate(c, "".join(signs), "".join(BROKEN[x] for x in signs))
 
 
 def without_accents(c: Column) -> Column:
-    """Accented letters of the fixed list are removed, not replaced."""
-    return F.translate(c, ACCENTED, "")
+    """Accented letters of the fixed list are removed in either case, not replaced."""
+    return F.translate(c, ACCENTED + ACCENTED.upper(), "")
 
 
 def without_contacts(c: Column) -> Column:
@@ -135,12 +136,13 @@ def shared_prefix(a: Column, b: Column) -> Column:
 
 
 def relevance(query: str, c: Column) -> Column:
-    """1 if equal, .85 for a prefix, .5 if contained, else .7 of the share of query terms plus .3 of a length factor."""
+    """1 if equal, .85 for a prefix, else .7 of the share of query terms among the text's words plus .3 of a length factor; without any such term .5 if contained."""
     q, low = query.lower(), F.lower(c)
-    terms = q.split()
-    share = sum((F.when(low.contains(t), 1).otherwise(0) for t in terms), F.lit(0)) / F.lit(max(len(terms), 1))
-    factor = F.least(F.lit(1.0), F.lit(float(len(q))) / F.greatest(F.length(low), F.lit(1)))
-    return F.when(low == q, 1.0).when(low.startswith(q), 0.85).when(low.contains(q), 0.5).when(share > 0, F.round(0.7 * share + 0.3 * factor, 4)).otherwise(0.0)
+    terms, held = q.split(), words(c)
+    met = sum((F.array_contains(held, t).cast("int") for t in terms), F.lit(0))
+    factor = F.least(F.lit(1.0), 0.5 + 0.5 * F.lit(float(len(terms))) / F.greatest(F.size(held), F.lit(1)))
+    ranked = F.when(met > 0, F.round(F.least(F.lit(1.0), met / F.lit(max(len(terms), 1)) * 0.7 + factor * 0.3), 4)).when(low.contains(q), 0.5).otherwise(0.0)
+    return F.when(F.lit(not q) | c.isNull() | (c == ""), 0.0).when(low == q, 1.0).when(low.startswith(q), 0.85).when(F.size(held) == 0, 0.0).otherwise(ranked)
 
 
 def duration_seconds(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.functions import text as T
 from heddle.operators.rows import first_per_key
@@ -81,7 +82,7 @@ def summary(docs: DataFrame) -> DataFrame:
     sizes = docs.groupBy(n.alias("size")).agg(F.count(F.lit(1)).alias("c"))
     one = docs.agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("text")).alias("chars"), F.sum(n).alias("words"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
     # sizes: a row for each length; the upper median is the first length with more than half of the rows up to it
-    upto = sizes.alias("a").join(sizes.alias("b"), F.expr("b.size <= a.size")).groupBy("a.size").agg(F.sum("b.c").alias("upto")).join(F.broadcast(one.select("records")))
+    upto = sizes.withColumn("upto", F.sum("c").over(Window.orderBy("size"))).join(F.broadcast(one.select("records")))
     median = upto.where(F.expr("upto > records div 2")).agg(F.min("size").alias("upper_median"))
     return one.join(F.broadcast(flat)).join(F.broadcast(median))
 

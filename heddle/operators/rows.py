@@ -75,8 +75,8 @@ def soft_delete(df: DataFrame, ids: DataFrame, id_col: str, flag: str = "deleted
 
 
 def restore_as_of(audit: DataFrame, id_col: str, value: str, ts: str, moment: Column) -> DataFrame:
-    """Per id the value of the last audit row not after the moment."""
-    return audit.where(F.col(ts) <= moment).groupBy(id_col).agg(F.max_by(value, ts).alias(value))
+    """Per id the value of the last audit row not after the moment; of rows at one time the largest value."""
+    return audit.where(F.col(ts) <= moment).groupBy(id_col).agg(F.max_by(value, F.struct(ts, value)).alias(value))
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:

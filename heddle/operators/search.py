@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +44,62 @@ def lexical(df: DataFrame, query: str, column: str, id_col: str, limit: int = 10
     return df.select(F.col(id_col).alias("id"), score.alias("score"), number.alias("pass")).where("score is not null").orderBy(F.desc("score"), "pass", "id").limit(limit)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, floor: float = 0.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, neighbour_id, score): cosine top-k of a stated query set against all rows, four digits.
+#: Vectors of one block, which one task holds while all queries stream past.
+BLOCK = 50_000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, floor: float = 0.0, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(query_id, neighbour_id, score): cosine top-k of a stated query set against all rows, four digits; ties by id, no row is its own neighbour.
 
-    Queries are unit-scaled and met in blocks: each block is an array of queries, so that a row of vectors meets a few blocks
-    and gives its best partners at once.
+    Vectors are dealt into blocks of about `block` rows and stay in their task. The queries are sent to each block, which gives
+    its k best rows for each of them, so that k rows for each query and block are shuffled and no pair of rows is.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
-    q = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vector)).alias("qv"))
-    v = vectors.select(F.col(id_col).alias("neighbour_id"), unit(F.col(vector)).alias("v"))
-    blocks = q.groupBy(F.expr("pmod(xxhash64(query_id), 64)").alias("block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    met = v.join(blocks).select("neighbour_id", "v", F.explode("qs").alias("q")).where("neighbour_id <> q.query_id")
-    s = met.select(F.col("q.query_id").alias("query_id"), "neighbour_id", F.round(T.cosine(F.col("q.qv"), F.col("v")), 4).alias("score")).where(F.col("score") >= floor)
-    return first_per_key(s, ["query_id"], [F.desc("score"), F.asc("neighbour_id")], k)
+    blocks = -(-vectors.count() // block) or 1
+    unit = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), unit(vector).alias("v")).where("id is not null and v is not null")
+    q = queries.select(F.col(id_col).cast("long").alias("id"), unit(vector).alias("v")).where("id is not null and v is not null")
+    sent = v.select(F.expr(f"pmod(xxhash64(id), {blocks})").alias("block"), F.lit(0).alias("asks"), "id", "v").unionByName(q.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), F.lit(1).alias("asks"), "id", "v"))
+    found = sent.repartition(blocks, "block").sortWithinPartitions("block", "asks").mapInArrow(_best_of_blocks(k, floor), "query_id long, neighbour_id long, score double")
+    return first_per_key(found, ["query_id"], [F.desc("score"), F.asc("neighbour_id")], k)
+
+
+def _best_of_blocks(k: int, floor: float):
+    """Rows (block, asks, id, v) arrive by block, vectors before queries."""
+    schema = pa.schema([("query_id", pa.int64()), ("neighbour_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, block = None, [], None
+        for b in batches:
+            place, asks, ids = (np.asarray(b.column(c)) for c in range(3))
+            cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (asks[1:] != asks[:-1])]) if b.num_rows else []
+            for i, j in zip(cut, [*cut[1:], b.num_rows], strict=True):
+                if place[i] != at:
+                    at, parts, block = place[i], [], None
+                x = b.column(3).slice(i, j - i)
+                x = np.asarray(x.flatten(), float).reshape(j - i, -1)
+                if not asks[i]:
+                    parts.append((ids[i:j], x))
+                    continue
+                if block is None:
+                    block = tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else ()
+                for start in range(0, (j - i) if block else 0, 256):  # a matrix of 256 queries by one block
+                    some = slice(start, start + 256)
+                    yield _best(ids[i:j][some], x[some], *block, k, floor, schema)
+
+    return run
+
+
+def _best(asked, q, ids, v, k, floor, schema) -> pa.RecordBatch:
+    norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))
+    score = np.round(np.divide(q @ v.T, norm, out=np.zeros((len(q), len(v))), where=norm > 0), 4)
+    score[(score < floor) | (asked[:, None] == ids)] = -np.inf
+    least = -np.partition(-score, k - 1, 1)[:, k - 1 : k] if score.shape[1] > k else np.full((len(q), 1), -np.inf)
+    row, col = np.nonzero((score >= least) & (score > -np.inf))
+    order = np.lexsort((ids[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, col = row[kept], col[kept]
+    return pa.RecordBatch.from_arrays([pa.array(asked[row], pa.int64()), pa.array(ids[col], pa.int64()), pa.array(score[row, col])], schema=schema)
 
 
 def analogy(vectors: DataFrame, a: int, b: int, c: int, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -36,18 +36,19 @@ def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
 def review_fold(reviews: DataFrame, keys: list[str], order: list[str], quality: str) -> DataFrame:
     """(keys, repetition, interval, ease): the spaced-repetition recurrence over each key's reviews in order.
 
-    A quality below 3 starts anew; else intervals go 1, 6, then grow by the ease, which never falls under 1.3.
+    A quality below 3 starts anew; else intervals go 1, 6, then grow by the ease after this review, rounded up. The ease
+    never falls under 1.3. Intervals have no bound and are doubles; the ease is shown with two digits.
     """
     listed = reviews.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(quality).cast("int").alias("q")))).alias("r"))
-    start = F.struct(F.lit(0).alias("repetition"), F.lit(0).alias("interval"), F.lit(2.5).alias("ease"))
+    start = F.struct(F.lit(0).alias("repetition"), F.lit(0.0).alias("interval"), F.lit(2.5).alias("ease"))
 
     def step(a, x):
         d = 5 - x.q
-        ease = F.greatest(F.lit(1.3), F.round(a.ease + (0.1 - d * (0.08 + d * 0.02)), 4))
-        interval = F.when(x.q < 3, 1).when(a.repetition == 0, 1).when(a.repetition == 1, 6).otherwise(F.round(a.interval * a.ease).cast("int"))
-        return F.struct(F.when(x.q < 3, 0).otherwise(a.repetition + 1).alias("repetition"), F.least(interval, F.lit(36500)).cast("int").alias("interval"), ease.alias("ease"))
+        ease = F.greatest(F.lit(1.3), a.ease + (0.1 - d * (0.08 + d * 0.02)))
+        interval = F.when((x.q < 3) | (a.repetition == 0), 1.0).when(a.repetition == 1, 6.0).otherwise(F.ceil(a.interval * ease).cast("double"))
+        return F.struct(F.when(x.q < 3, 0).otherwise(a.repetition + 1).alias("repetition"), interval.alias("interval"), ease.alias("ease"))
 
-    return listed.select(*keys, F.aggregate("r", start, step).alias("s")).select(*keys, "s.*")
+    return listed.select(*keys, F.aggregate("r", start, step).alias("s")).select(*keys, "s.repetition", "s.interval", F.round("s.ease", 2).alias("ease"))
 
 
 def capped_routes(events: DataFrame, route: str, most: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The folder for checkpoints: the one that the session names, a fresh one only where it names none."""
+"""The folder for checkpoints: the one that the session names, where it names none, a fresh one on a local master, an error on a cluster."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 def checkpoints(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="heddle-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:

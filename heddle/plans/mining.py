@@ -70,9 +70,9 @@ def segment_depths(spark, sf):
     return out.select("doc_id", F.col("at").alias("position"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.col("depth"))
 
 
-@query("""SELECT l_orderkey, md5(l_orderkey::VARCHAR || '|' || l_partkey::VARCHAR || '|' || l_returnflag) AS k FROM lineitem WHERE l_linenumber = 1""")
+@query("""SELECT l_orderkey, md5(l_orderkey::VARCHAR || '|' || l_partkey::VARCHAR || '|' || l_returnflag) AS k FROM lineitem""")
 def composite_key_hash(spark, sf):
-    return _line_keys(load(spark, sf, "lineitem").where("l_linenumber = 1"))
+    return _line_keys(load(spark, sf, "lineitem"))
 
 
 @query()
@@ -84,10 +84,10 @@ def _line_keys(li):
     return li.select("l_orderkey", F.md5(F.concat(F.col("l_orderkey").cast("string"), F.lit("|"), F.col("l_partkey").cast("string"), F.lit("|"), "l_returnflag")).alias("k"))
 
 
-@query("""SELECT doc_id, left(sha256('m:documents:' || doc_id || ':' || left(text, 100)), 32) AS vector_id FROM documents""")
+@query("""SELECT doc_id, left(sha256('m:documents:' || doc_id || ':' || coalesce(text, '')), 32) AS vector_id FROM documents""")
 def vector_ids(spark, sf):
     d = load(spark, sf, "documents")
-    return d.select("doc_id", F.substring(F.sha2(F.concat(F.lit("m:documents:"), F.col("doc_id").cast("string"), F.lit(":"), F.substring("text", 1, 100)), 256), 1, 32).alias("vector_id"))
+    return d.select("doc_id", F.substring(F.sha2(F.concat(F.lit("m:documents:"), F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), 256), 1, 32).alias("vector_id"))
 
 
 @query()
@@ -140,10 +140,10 @@ def key_term_lines(spark, sf):
     return line.select(F.explode(hit).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN n <= 40 THEN 'A1' WHEN n <= 120 THEN 'A2' WHEN n <= 400 THEN 'B1' ELSE 'B2' END AS level FROM (SELECT doc_id, len({TOKENS}) AS n FROM documents WHERE lang IN {sql_list(['en', 'fr'])})""")
+@query(f"""SELECT doc_id, CASE WHEN n <= 40 THEN 'A1' WHEN n <= 120 THEN 'A2' WHEN n <= 400 THEN 'B1' ELSE 'B2' END AS level FROM (SELECT doc_id, len({TOKENS}) AS n FROM documents)""")
 def level_tagger(spark, sf):
     n = F.size("tokens")
-    d = tokenized(spark, sf, "lang").where(F.col("lang").isin("en", "fr"))
+    d = tokenized(spark, sf)
     return d.select("doc_id", F.when(n <= 40, "A1").when(n <= 120, "A2").when(n <= 400, "B1").otherwise("B2").alias("level"))
 
 

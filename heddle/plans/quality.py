@@ -72,13 +72,14 @@ def per_tag_scores(spark, sf):
     return E.per_tag(_pairs(spark, sf))
 
 
-@query("""WITH s AS (SELECT doc_id AS id, string_split(left(text, 60), ' ') AS g, string_split(left(text, 60), 'e ') AS p FROM documents),
-b AS (SELECT id, g, p, list_transform(range(1, len(g) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: len(x)))::INTEGER) AS gb, list_transform(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: len(x)))::INTEGER) AS pb FROM s)
-SELECT id, round(len(list_intersect(gb, pb)) / len(pb), 4) AS precision, round(len(list_intersect(gb, pb)) / len(gb), 4) AS recall, g = p AS exact FROM b WHERE list_min(list_transform(g, lambda x: len(x))) > 0 AND list_min(list_transform(p, lambda x: len(x))) > 0""")
+_ENDS = "SELECT DISTINCT id, sum(len(x)) OVER (PARTITION BY id ORDER BY pos) AS e FROM (SELECT id, unnest({0}) AS x, unnest(range(len({0}))) AS pos FROM s)"
+
+
+@query(f"""WITH s AS (SELECT doc_id AS id, string_split(text, ' ') AS g, string_split(text, 'e ') AS p FROM documents), g AS ({_ENDS.format('g')}), p AS ({_ENDS.format('p')}),
+n AS (SELECT id, count(g.e) AS ng, count(p.e) AS np, count(CASE WHEN g.e IS NOT NULL AND p.e IS NOT NULL THEN 1 END) AS met FROM g FULL JOIN p USING (id, e) GROUP BY 1)
+SELECT id, round(met / np, 4) AS precision, round(met / ng, 4) AS recall, g = p AS exact FROM s JOIN n USING (id)""")
 def boundary_scores(spark, sf):
-    head = F.substring("text", 1, 60)
-    s = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.split(head, " ").alias("gold"), F.split(head, "e ").alias("pred"))
-    return E.boundary_scores(s.where("forall(gold, x -> length(x) > 0) and forall(pred, x -> length(x) > 0)"))
+    return boundary_scores_whole(spark, sf)
 
 
 @query()
@@ -92,7 +93,25 @@ def mcnemar_test(spark, sf):
     return E.mcnemar(load(spark, sf, "lineitem").select((F.col("l_quantity") > 25).alias("first"), (F.col("l_discount") > 0.05).alias("second")))
 
 
-@query()
+_GRAMS = {
+    "word": "SELECT conv_id, turn, k, list_transform(range(1, len({0}) - k + 2), lambda i: array_to_string({0}[i : i + k - 1], chr(1))) AS l FROM w, (SELECT unnest(range(1, 5)) AS k)",
+    "char": "SELECT conv_id, turn, k, list_transform(range(1, len({0}) - k + 2), lambda i: substring({0}, i, k)) AS l FROM t, (SELECT unnest(range(1, 7)) AS k)",
+}
+
+
+def _met(kind: str, h: str, r: str) -> str:
+    """SQL: n-grams of hypothesis and reference and how many are met, for each pair and order."""
+    one = lambda c: f"SELECT conv_id, turn, k, x, count(*) AS n FROM (SELECT conv_id, turn, k, unnest(l) AS x FROM ({_GRAMS[kind].format(c)})) GROUP BY ALL"
+    return f"SELECT conv_id, turn, k, coalesce(sum(a.n), 0) AS nh, coalesce(sum(b.n), 0) AS nr, coalesce(sum(least(a.n, b.n)) FILTER (WHERE a.n IS NOT NULL AND b.n IS NOT NULL), 0) AS met FROM ({one(h)}) AS a FULL JOIN ({one(r)}) AS b USING (conv_id, turn, k, x) GROUP BY ALL"
+
+
+_PAIRS = """SELECT conv_id, turn, lower(output) AS h, lower(instruction) AS r FROM (SELECT conv_id, turn, text AS instruction, role, lead(text) OVER w AS output, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant' AND len(output) >= 5"""
+
+
+@query(f"""WITH t AS ({_PAIRS}), w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(h, '\\s+'), lambda x: x <> '') AS h, list_filter(regexp_split_to_array(r, '\\s+'), lambda x: x <> '') AS r FROM t),
+b AS (SELECT conv_id, turn, exp(sum(CASE WHEN nh > 0 THEN ln((met + 1) / (nh + 1)) ELSE 0 END) / 4) AS p FROM ({_met('word', 'h', 'r')}) GROUP BY 1, 2),
+c AS (SELECT conv_id, turn, sum(CASE WHEN nh > 0 THEN met / nh ELSE 0 END) / 6 AS p, sum(CASE WHEN nh > 0 AND nr > 0 THEN met / nr ELSE 0 END) / 6 AS q FROM ({_met('char', 'h', 'r')}) GROUP BY 1, 2)
+SELECT conv_id, turn, round(CASE WHEN len(w.h) = 0 THEN 0.0 ELSE coalesce(b.p, 1.0) * least(1.0, exp(1 - len(w.r) / len(w.h))) END, 4) AS bleu, round(CASE WHEN coalesce(c.p + c.q, 0) = 0 THEN 0.0 ELSE 10 * c.p * c.q / (9 * c.p + c.q) END, 4) AS chrf FROM t JOIN w USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn) LEFT JOIN c USING (conv_id, turn)""")
 def translation_metrics(spark, sf):
     from heddle.functions.arrow import chrf, pair_metric, sentence_bleu
     from heddle.operators.datasets import instruction_pairs

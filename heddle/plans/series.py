@@ -38,7 +38,11 @@ def session_windows(spark, sf):
     return S.sessions(events(spark, sf), "user_id", "6 hours")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type, (event_id % 6)::INTEGER AS q, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, event_type, 0::BIGINT AS i, 0 AS repetition, 0.0::DOUBLE AS interval_, 2.5::DOUBLE AS ease FROM (SELECT DISTINCT user_id, event_type FROM o)
+UNION ALL SELECT user_id, event_type, i, CASE WHEN q < 3 THEN 0 ELSE repetition + 1 END, CASE WHEN q < 3 OR repetition = 0 THEN 1.0 WHEN repetition = 1 THEN 6.0 ELSE ceil(interval_ * e) END, e
+FROM (SELECT o.user_id, o.event_type, o.i, o.q, s.repetition, s.interval_, greatest(1.3::DOUBLE, s.ease + (0.1::DOUBLE - (5 - o.q) * (0.08::DOUBLE + (5 - o.q) * 0.02::DOUBLE))) AS e FROM s JOIN o ON o.user_id = s.user_id AND o.event_type = s.event_type AND o.i = s.i + 1))
+SELECT user_id, event_type, repetition, interval_ AS interval, round(ease, 2) AS ease FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY i DESC) AS last FROM s) WHERE last = 1""")
 def spaced_repetition(spark, sf):
     e = events(spark, sf).withColumn("quality", F.expr("cast(pmod(event_id, 6) as int)"))
     return S.review_fold(e, ["user_id", "event_type"], ["ts", "event_id"], "quality")

@@ -39,16 +39,15 @@ def dedup_stats_per_file(spark, sf):
     return dedup.stats(D(spark, sf, "text", "source"), "source", "text")
 
 
-@query("""WITH d AS (SELECT doc_id, lang, list_distinct(list_transform(range(1, len(left(text, 200)) - 3), lambda i: substring(lower(left(text, 200)), i, 5))) AS s FROM documents WHERE len(text) >= 5),
+@query("""WITH d AS (SELECT doc_id, lang, list_distinct(list_transform(range(1, len(text) - 3), lambda i: substring(lower(text), i, 5))) AS s FROM documents WHERE len(text) >= 5),
 b AS (SELECT doc_id, s, unnest(list_sort(list_transform(s, lambda x: md5(x)))[1:4]) AS h FROM d), p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.h = y.h AND x.doc_id < y.doc_id)
 SELECT a, b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 4) AS jaccard FROM p JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) >= 0.8""")
 def shingle_pairs(spark, sf):
-    return dedup.shingle_pairs(D(spark, sf).select("doc_id", F.substring("text", 1, 200).alias("text")), "doc_id", "text")
+    return dedup.shingle_pairs(D(spark, sf), "doc_id", "text")
 
 
 @query()
 def shingle_pairs_whole(spark, sf):
-    """Over whole texts, which SQL does not express in bounded time."""
     return dedup.shingle_pairs(D(spark, sf), "doc_id", "text")
 
 
@@ -63,10 +62,10 @@ def tokenizer(spark, sf):
     return D(spark, sf).select("doc_id", F.size(t).alias("n_tokens"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(left(text, 80)), '[a-z0-9]+'), lambda x: x NOT IN {sql_list(EN)})[1:2], ' ') AS terms FROM documents""")
+@query(f"""WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN {sql_list(EN)}) AS l FROM documents), g AS (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS p FROM l) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM g) SELECT doc_id, coalesce(terms, '') AS terms FROM documents LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS terms FROM r WHERE r <= 6 GROUP BY 1) USING (doc_id)""")
 def query_terms(spark, sf):
-    found = F.regexp_extract_all(F.lower(F.substring("text", 1, 80)), F.lit(T.QUERY_TOKEN), F.lit(0))
-    return D(spark, sf).select("doc_id", F.array_join(F.slice(F.filter(found, lambda x: ~x.isin(EN)), 1, 2), " ").alias("terms"))
+    return D(spark, sf).select("doc_id", F.coalesce(F.array_join(T.query_tokens(F.col("text"), EN), " "), F.lit("")).alias("terms"))
 
 
 @query()
@@ -109,9 +108,9 @@ def contact_removal(spark, sf):
     return D(spark, sf).select("doc_id", T.without_contacts(F.col("text")).alias("clean"))
 
 
-@query("""SELECT doc_id, translate(text, 'áàâäãåéèêëíìîïóòôöõúùûüçñýÿ', '') AS plain, regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents""")
+@query("""SELECT doc_id, translate(text, 'àáâãäåèéêëìíîïòóôõöùúûüýÿÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝŸ', '') AS plain, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents""")
 def accent_filter_and_slug(spark, sf):
-    return D(spark, sf).select("doc_id", T.without_accents(F.col("text")).alias("plain"), T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return D(spark, sf).select("doc_id", T.without_accents(F.col("text")).alias("plain"), T.slug(F.col("text")).alias("slug"))
 
 
 @query()
@@ -124,7 +123,7 @@ def boilerplate_lines(spark, sf):
     return D(spark, sf).select("doc_id", T.without_matching_lines(F.col("text"), "(?i)licen[sc]e|copyright").alias("kept"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR (len(trim(x)) >= 5 AND 1 - len(regexp_replace(x, '[^A-Za-zÀ-ɏ ]', '', 'g')) / len(x) <= 0.30)), chr(10)) AS kept FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR (len(trim(x)) >= 5 AND 1 - len(regexp_replace(x, '[^\\p{L}]', '', 'g')) / len(trim(x)) <= 0.30)), chr(10)) AS kept FROM documents""")
 def noisy_lines(spark, sf):
     return D(spark, sf).select("doc_id", T.without_noisy_lines(F.col("text")).alias("kept"))
 
@@ -218,10 +217,10 @@ def record_validator(spark, sf):
     return d.select("doc_id", F.concat(F.when(F.length("text") < 200, "short,").otherwise(""), F.when(~F.col("lang").isin("en", "fr"), "lang").otherwise("")).alias("codes"))
 
 
-@query("""SELECT doc_id, (CASE WHEN lower(source) = 'src1' THEN 1.0 WHEN starts_with(lower(source), 'src1') THEN 0.85 WHEN contains(lower(source), 'src1') THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM documents WHERE contains(source, '1')""")
+@query("""WITH d AS (SELECT p_partkey, lower(p_name) AS n, list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda x: x <> '') AS t FROM part), s AS (SELECT *, (list_contains(t, 'small')::INTEGER + list_contains(t, 'ring')::INTEGER) / 2 AS share FROM d)
+SELECT p_partkey, (CASE WHEN coalesce(n, '') = '' THEN 0.0 WHEN n = 'small ring' THEN 1.0 WHEN starts_with(n, 'small ring') THEN 0.85 WHEN share > 0 THEN round(least(1.0, share * 0.7 + least(1.0, 0.5 + 0.5 * 2.0 / len(t)) * 0.3), 4) WHEN contains(n, 'small ring') THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM s""")
 def relevance_score(spark, sf):
-    d = load(spark, sf, "documents").where(F.col("source").contains("1"))
-    return d.select("doc_id", T.relevance("src1", F.col("source")).alias("score"))
+    return load(spark, sf, "part").select("p_partkey", T.relevance("small ring", F.col("p_name")).alias("score"))
 
 
 @query("""SELECT doc_id, rejected FROM (SELECT doc_id, CASE WHEN len(trim(text)) < 100 THEN 'short' WHEN lang NOT IN ('en', 'fr') THEN 'language' WHEN row_number() OVER (PARTITION BY len(trim(text)) >= 100 AND lang IN ('en', 'fr'), md5(trim(text)) ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'kept' END AS rejected FROM documents)""")

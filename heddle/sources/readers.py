@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.functions import text as T
 
@@ -25,10 +26,17 @@ def jsonl(spark: SparkSession, path: str, pattern: str | None = None, recursive:
 
 
 def jsonl_with_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The schema's columns with `line` (as read), `file` and `broken`: true where a line is no object of this schema."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file")).where(~T.is_blank(F.col("line")))
+    """The schema's columns with `line` (as read), `file`, `line_number` (from 1) and `broken`: true where a line is no object of this schema.
+
+    Rows of a block of a file are numbered as they are read; the blocks' sizes, a small table, place them within the file.
+    """
+    read = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.input_file_block_start().alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    blocks = read.groupBy("file", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "__block", (before - F.col("__first")).alias("__shift"))
+    lines = read.join(blocks, ["file", "__block"]).select("line", "file", (F.col("__at") + F.col("__shift") + 1).alias("line_number")).where(~T.is_blank(F.col("line")))
     parsed = lines.withColumn("__r", F.from_json("line", schema + ", __corrupt string", {"columnNameOfCorruptRecord": "__corrupt"}))
-    return parsed.select("line", "file", (F.col("__r").isNull() | F.col("__r.__corrupt").isNotNull()).alias("broken"), "__r.*").drop("__corrupt")
+    return parsed.select("line", "file", "line_number", (F.col("__r").isNull() | F.col("__r.__corrupt").isNotNull()).alias("broken"), "__r.*").drop("__corrupt")
 
 
 def line_count(spark: SparkSession, path: str) -> int:
