@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -109,3 +111,77 @@ def analogy(vectors: DataFrame, a: int, b: int, c: int, k: int = 5, id_col: str
     goal = three.select(F.zip_with(F.zip_with("b", "a", lambda x, y: x - y), "c", lambda x, y: x + y).alias("goal"))
     s = vectors.where(~F.col(id_col).isin(a, b, c)).join(F.broadcast(goal))  # one row
     return s.select(F.col(id_col).alias("neighbour_id"), F.round(T.cosine(F.col(vector), F.col("goal")), 4).alias("score")).orderBy(F.desc("score"), "neighbour_id").limit(k)
+
+
+def hybrid(tables: dict[str, tuple[DataFrame, str, str, str]], query: str, k: int = 10, fuzzy: DataFrame | None = None, dense: DataFrame | None = None) -> DataFrame:
+    """(table_name, id, score, way): all ways of search in one ranking.
+
+    Each table is (rows, id, first column, second column). Ways and scores: exact and second exact 1.0, prefix .9, contained .7
+    (.665 for one query word), any word .6; full text .75 + .2 * relevance (`fuzzy`: table_name, id, relevance); vectors by
+    their own score (`dense`: table_name, id, score). Of several ways to one row the first in this order counts; then the best
+    k by score, table and id.
+    """
+    q, terms = query.lower(), query.lower().split()
+    hits = None
+    for name, (df, id_col, first, second) in tables.items():
+        low, other = F.lower(first), F.lower(second)
+        some = [low.contains(t) | other.contains(t) for t in terms]
+        ways = [("exact", low == q, 1.0), ("second", other == q, 1.0), ("prefix", low.startswith(q), 0.9), ("contains", low.contains(q), 0.7), ("word", F.arrays_overlap(F.split(low, r"\s+"), F.array(*map(F.lit, terms))), 0.665), ("any", reduce(or_, some, F.lit(False)), 0.6)]
+        way = F.coalesce(*[F.when(c, F.struct(F.lit(n).alias("rank"), F.lit(w).alias("way"), F.lit(s).alias("score"))) for n, (w, c, s) in enumerate(ways)])
+        found = df.select(F.lit(name).alias("table_name"), F.col(id_col).cast("long").alias("id"), way.alias("x")).where("x is not null").select("table_name", "id", "x.*")
+        hits = found if hits is None else hits.unionByName(found)
+    if fuzzy is not None:
+        hits = hits.unionByName(fuzzy.select("table_name", "id", F.lit(6).alias("rank"), F.lit("text").alias("way"), F.round(0.75 + 0.2 * F.col("relevance"), 4).alias("score")))
+    if dense is not None:
+        hits = hits.unionByName(dense.select("table_name", "id", F.lit(7).alias("rank"), F.lit("vector").alias("way"), "score"))
+    best = hits.groupBy("table_name", "id").agg(F.min(F.struct("rank", "way", "score")).alias("x"))
+    return best.select("table_name", "id", F.col("x.score").alias("score"), F.col("x.way").alias("way")).orderBy(F.desc("score"), "table_name", "id").limit(k)
+
+
+def completion_chain(bigrams: DataFrame, start: str, most: int = 20) -> list[str]:
+    """The greedy chain of likeliest next words from (word, next, n), up to `most` words or the first repeated one; one bounded lookup a step."""
+    chain = [start]
+    best = first_per_key(bigrams, ["word"], [F.desc("n"), F.asc("next")])
+    while len(chain) < most:
+        hit = best.where(F.col("word") == chain[-1]).select("next").head()
+        if hit is None or hit[0] in chain:
+            break
+        chain.append(hit[0])
+    return chain
+
+
+def evidence_pack(ranked: DataFrame, group: str, order: list, item: Column, most: int = 5) -> DataFrame:
+    """(group, n, items): the `most` first rows of each group as numbered structs, and how many there are in all."""
+    n = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    top = first_per_key(ranked.withColumn("__item", item), [group], order, most)
+    packed = top.groupBy(group).agg(F.array_sort(F.collect_list("__item")).alias("items"))
+    return n.join(packed, group)
+
+
+def context_blocks(pack: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """(group, context): the items as numbered blocks."""
+    return pack.select(group, F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x[text])), "\n").alias("context"))
+
+
+def vector_rows(docs: DataFrame, stored: DataFrame, template: Column, chunk: Column, model: str, embed) -> DataFrame:
+    """(vector_id, doc_id, at, chunk, embedding): chunks whose id (of model, row, place and content) is not stored yet, embedded by `embed`, a column function."""
+    c = docs.withColumn("__text", template).select("doc_id", F.posexplode(chunk).alias("at", "chunk"))
+    c = c.withColumn("vector_id", F.substring(F.sha2(F.concat_ws(":", F.lit(model), F.col("doc_id").cast("string"), F.col("at").cast("string"), "chunk"), 256), 1, 32))
+    return c.join(stored.select("vector_id"), "vector_id", "left_anti").withColumn("embedding", embed(F.col("chunk")))
+
+
+def node_upsert(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
+    """nodes (type, label, source, source_id, version) after an upsert: null keys equal empty ones, met nodes count one version up, others start at 1."""
+    keys = ["type", "label", "source", "source_id"]
+    even = lambda df: df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in keys], *[c for c in df.columns if c not in keys])
+    old, new = even(nodes), even(incoming).select(*keys).distinct().withColumn("__met", F.lit(1))
+    j = old.join(new, keys, "full")
+    return j.select(*keys, (F.coalesce("version", F.lit(0)) + F.coalesce("__met", F.lit(0))).cast("int").alias("version"))
+
+
+def triples(docs: DataFrame, verbs: list[str]) -> DataFrame:
+    """(doc_id, subject, predicate, object): the words beside each verb in (doc_id, tokens)."""
+    known = F.array(*map(F.lit, verbs))
+    at = F.filter(F.sequence(F.lit(2), F.size("tokens") - 1), lambda i: F.array_contains(known, F.element_at("tokens", i)))
+    e = docs.where(F.size("tokens") >= 3).select("doc_id", "tokens", F.explode(at).alias("i"))
+    return e.select("doc_id", *[F.element_at("tokens", F.col("i") + d).alias(n) for d, n in ((-1, "subject"), (0, "predicate"), (1, "object"))]).distinct()
