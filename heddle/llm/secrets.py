@@ -38,6 +38,9 @@ _CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\u[0-9A-Fa-f]{4})+|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_ODD = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\ufffd]+")
+_GLUE = re.compile(r"[/_-]")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,}\r?\n)+[A-Za-z0-9+/]+={0,2}")
 _flags = lambda letters: bytes(49 if b in letters else 48 for b in range(256))
 _IS_HEX = _flags(b"0123456789abcdef")
 _IS_64 = _flags(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
@@ -98,20 +101,18 @@ def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
             parts.append(text)
             size += len(text)
         upto, changed = m.end(), True
-    if not changed:
-        return None
     copy(len(layer.text))
-    return _Layer("".join(parts), at, origin, exact)
+    text = "".join(parts)
+    return _Layer(text, at, origin, exact) if changed and text != layer.text else None
 
 
 def _percent(m: re.Match):
     raw, out, k = bytes.fromhex(m[0].replace("%", "")), [], 0
     while k < len(raw):
         n = next((n for n in (1, 2, 3, 4) if _utf8(raw[k : k + n])), 0)
-        if not n:
-            return None
-        out.append((raw[k : k + n].decode(), 3 * k, 3 * (k + n)))
-        k += n
+        # a byte that is no UTF-8 stays as it is written; the rest of the run is read
+        out.append((raw[k : k + n].decode() if n else m[0][3 * k : 3 * k + 3], 3 * k, 3 * (k + (n or 1))))
+        k += n or 1
     return out
 
 
@@ -166,26 +167,45 @@ def _member(raw: bytes) -> tuple[bytes, bytes] | None:
         return None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    plain = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and plain >= 0.9 * len(text) else None
+def _texts(raw: bytes) -> list[str]:
+    """What bytes say: as UTF-16 where a mark or the zero bytes show it, and as UTF-8; parts that are no text become signs of their own."""
+    some, found = raw[:512], []
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or (len(some) > 7 and 3 * max(some[::2].count(0), some[1::2].count(0)) > len(some)):
+        big = raw[:2] == b"\xfe\xff" or (raw[:2] != b"\xff\xfe" and some[::2].count(0) > some[1::2].count(0))
+        found.append(raw.decode("utf-16-be" if big else "utf-16-le", "replace"))
+    return [*found, raw.decode("utf-8", "replace")]
 
 
-def _unpacked(run: str) -> str | None:
-    """The text inside a base64 run, through any layers of compression."""
+def _unpacked(run: str) -> list[str]:
+    """The texts inside a base64 run, through any layers of compression."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        body = body[:-1]  # a letter too many: what stands before it is read
     raw = base64.b64decode(body + "=" * (-len(body) % 4))
     seen = set()
     while (more := _inflated(raw)) is not None and (mark := hashlib.blake2b(more).digest()) not in seen:
         seen.add(mark)
         raw = more
-    return _readable(raw)
+    return _texts(raw)
+
+
+def _runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """Runs that may be base64, with their places: whole runs, their parts between / _ - and their ends behind one to three
+    letters (a run may be glued to a path or a word) where these begin like a text or compressed data, and wrapped lines."""
+    for m in _BASE64.finditer(text):
+        yield m[0], m.start(), m.end()
+        if _begins(m[0]):
+            continue
+        for k in (1, 2, 3):
+            if len(m[0]) - k >= 16 and _begins(m[0][k : k + 64]):
+                yield m[0][k:], m.start() + k, m.end()
+        at = m.start()
+        for part in _GLUE.split(m[0]):
+            if 16 <= len(part) < len(m[0]) and _begins(part[:64]):
+                yield part, at, at + len(part)
+            at += len(part) + 1
+    for m in _WRAPPED.finditer(text):
+        yield re.sub(r"\s", "", m[0]), m.start(), m.end()
 
 
 def _next_layers(layer: _Layer) -> Iterator[_Layer]:
@@ -195,9 +215,27 @@ def _next_layers(layer: _Layer) -> Iterator[_Layer]:
     if "\\" in text and (new := _rewritten(layer, _ESCAPE, _escape)):
         yield new
     if b"1" * 16 in text.encode("utf-8", "replace").translate(_IS_64):
-        for m in _BASE64.finditer(text):
-            if inner := _unpacked(m[0]):
-                yield _Layer(inner, [0], [layer.back(*m.span())], [False])
+        for run, start, end in _runs(text):
+            for inner in _unpacked(run):
+                if inner and _worth(inner):
+                    yield _Layer(inner, [0], [layer.back(start, end)], [False])
+
+
+def _plain(text: str) -> bool:
+    """Nine signs in ten, or more, are those of a text."""
+    return 10 * len(_ODD.sub("", text)) >= 9 * len(text)
+
+
+def _begins(run: str) -> bool:
+    """Whether a run, decoded from its first letter, begins like a text or like compressed data: it is aligned there."""
+    body = run[:64].rstrip("=").replace("-", "+").replace("_", "/")
+    raw = base64.b64decode(body[: len(body) // 4 * 4])
+    return raw[:2] == b"\x1f\x8b" or raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\x00" or any(map(_plain, _texts(raw)))
+
+
+def _worth(text: str) -> bool:
+    """Whether a decoded text is entered: it reads as a text, or a secret stands in it."""
+    return _plain(text) or bool(base_spans(text))
 
 
 def _mark(layer: _Layer) -> bytes:

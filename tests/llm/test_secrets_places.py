@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import lzma
+import re
 import urllib.parse
 import zlib
 
@@ -32,3 +33,30 @@ def test_all_members_are_read(pack):
 def test_content_behind_64_mb_is_read():
     hidden = b64(gzip.compress(b"plain words " * ((68 << 20) // 12) + TOKEN.encode(), 1))
     assert secrets.scan(hidden)[1] == [(0, len(hidden), 0)]
+
+
+def spans_of(text):
+    return secrets.joined(secrets.scan(text)[1])
+
+
+@pytest.mark.parametrize("made", [
+    lambda s: "see %ff" + "".join(f"%{b:02x}" for b in s.encode()) + " end",
+    lambda s: "x " + base64.b64encode(s.encode("utf-16")).decode() + " y",
+    lambda s: "x " + base64.b64encode(s.encode("utf-16-be")).decode() + " y",
+    lambda s: "path/x/" + base64.b64encode(s.encode()).decode().rstrip("="),
+    lambda s: "ab" + base64.b64encode(s.encode()).decode(),
+    lambda s: "x\n" + "\n".join(re.findall(".{1,20}", base64.b64encode(s.encode()).decode())) + "\n",
+    lambda s: "x " + base64.b64encode(bytes(range(128, 250)) + b" " + s.encode() + b" " + bytes(range(128, 250))).decode(),
+    lambda s: "x " + base64.b64encode(gzip.compress(b"first member ") + gzip.compress(s.encode())).decode(),
+    lambda s: "x " + base64.b64encode(bz2.compress(b"first " * 9) + bz2.compress(s.encode())).decode(),
+])
+def test_hidden_secrets_are_found(made):
+    text = made("here password=abcdef123456 there")
+    found = spans_of(text)
+    assert found.startswith("assign:")
+    start, end = map(int, found.split(",")[0].split(":")[1:])
+    assert 0 <= start < end <= len(text)
+
+
+def test_a_bad_byte_alone_ends():
+    assert spans_of("%ff%fe %ff") == "" and spans_of("%") == ""
