@@ -12,7 +12,7 @@ order is the posterior P_e / 2 P_w. Where a longer context has no training count
 2. Each part adds up its pieces' counts and weights its subtrees bottom-up, whole subtrees at a time. The nodes of order
    `SPLIT` are summed by Spark to orders 2 and 1; what is left for the driver are the 256 contexts of order 1.
 3. Top-down, each part gives each key the log probability of its byte, and each piece the values of its keys.
-4. Each piece's texts meet its values and are scored. A task holds one piece or one part; no table of the model is sent to
+4. Each piece's texts meet the values of their keys and are scored. A task holds one piece or one part; no table of the model is sent to
    all tasks, and one plan serves every size.
 
 The unigram base model goes the same way, with 64-bit hashes of words as keys and training counts as values.
@@ -92,6 +92,14 @@ def word_keys(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.r_[h, ends], np.r_[doc_of[starts], np.arange(n)]
 
 
+def _keys(kind: int, raw: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of 63 bits at most, and their texts' numbers."""
+    if kind == _BYTES:
+        return byte_keys(raw, offsets, depth)
+    key, doc = word_keys(raw, offsets)
+    return key >> np.uint64(1), doc
+
+
 def _packed(values: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(values).tobytes(), "zstd", asbytes=True)
 
@@ -152,12 +160,12 @@ def _in_pieces(depth: int, parts: int):
                 out.write_table(texts)
             raw = sink.getvalue()
             rows.append((task + k, _TEXTS, -1, raw.size, b"", pa.compress(raw, "zstd", asbytes=True)))
-            for kind, make in ((_BYTES, lambda r, o: byte_keys(r, o, depth)), (_WORDS, word_keys)):
+            for kind in (_BYTES, _WORDS):
                 found, upto = np.empty(sum(b.column(1).nbytes + b.num_rows for b in held), np.uint64), 0  # room for the largest number of keys
                 for b in pieces(iter(held), STEP):
-                    key, doc = make(*text_bytes(b.column(1)))
+                    key, doc = _keys(kind, *text_bytes(b.column(1)), depth)
                     learnt = np.asarray(b.column(2).to_numpy(zero_copy_only=False), np.uint64)[doc]
-                    found[upto : upto + len(key)] = (key << np.uint64(1) if kind == _BYTES else key & ~np.uint64(1)) | learnt
+                    found[upto : upto + len(key)] = key << np.uint64(1) | learnt
                     upto += len(key)
                 key = found[:upto]
                 key.sort()
@@ -328,7 +336,7 @@ def _valued(depth: int, split: int):
                 else:
                     mine = _unpacked_keys(keys, n)
                     got = value[np.searchsorted(key, mine)]
-                    rows.append((piece, kind, part, n, keys, _packed_floats(got) if kind == _BYTES else _packed(got)))
+                    rows.append((piece, kind, part, n, None, _packed_floats(got) if kind == _BYTES else _packed(got)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
@@ -401,13 +409,19 @@ def _own_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("words", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(depth: int):
-    """Scores of each piece's texts; rows (piece, kind, n, keys, data) arrive by piece, the values before the texts."""
+def _scored(depth: int, parts: int):
+    """Scores of each piece's texts; rows (piece, kind, part, n, data) arrive by piece, the values in order of parts before the texts.
+
+    The keys are not sent along: the piece's texts give the same distinct keys, in the same order, once more.
+    """
 
-    def table(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        key, value = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(key, kind="stable")
-        return key[order], value[order]
+    def table(kind: int, texts: list[pa.RecordBatch], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key = np.concatenate([_keys(kind, *text_bytes(b.column(1)), depth)[0] for b in pieces(iter(texts), STEP)])
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        value = np.empty(len(key), held[0].dtype)
+        value[np.argsort(_parts_of(kind, key, depth, parts), kind="stable")] = np.concatenate(held)
+        return key, value
 
     def values(known: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
@@ -418,19 +432,20 @@ def _scored(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {_BYTES: [], _WORDS: []}
         for b in batches:
-            for kind, n, keys, data in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+            for kind, n, data in zip(*(b.column(c).to_pylist() for c in (1, 3, 4)), strict=True):
                 if kind != _TEXTS:
-                    held[kind].append((_unpacked_keys(keys, n), _unpacked_floats(data, n) if kind == _BYTES else _unpacked(data, n, np.int64)))
+                    held[kind].append(_unpacked_floats(data, n) if kind == _BYTES else _unpacked(data, n, np.int64))
                     continue
-                of_bytes, of_words = table(held[_BYTES]), table(held[_WORDS])
+                texts = pa.ipc.open_stream(pa.decompress(data, n, "zstd")).read_all().to_batches()
+                of_bytes, of_words = table(_BYTES, texts, held[_BYTES]), table(_WORDS, texts, held[_WORDS])
                 held = {_BYTES: [], _WORDS: []}
-                for t in pieces(iter(pa.ipc.open_stream(pa.decompress(data, n, "zstd")).read_all().to_batches()), STEP):
+                for t in pieces(iter(texts), STEP):
                     raw, offsets = text_bytes(t.column(1))
                     m = t.num_rows
-                    key, doc = byte_keys(raw, offsets, depth)
+                    key, doc = _keys(_BYTES, raw, offsets, depth)
                     score = np.bincount(doc, values(of_bytes, key), m)
-                    key, doc = word_keys(raw, offsets)
-                    count = values(of_words, key >> np.uint64(1))
+                    key, doc = _keys(_WORDS, raw, offsets, depth)
+                    count = values(of_words, key)
                     cols = [t.column(0), np.diff(offsets), np.bincount(doc, minlength=m), np.bincount(doc[count > 0], minlength=m), np.bincount(doc, np.log10(count + 1.0), m), score]
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, _SCORED, strict=True)], schema=_SCORED)
 
@@ -458,6 +473,6 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     row = lambda df, step: df.withColumn("step", F.lit(step)).select(*[c if c in df.columns or c == "step" else none[c] for c in sent])
     every = row(merged.drop("ids", "ones", "zeros", "log_w", "total", "known"), 0).unionByName(row(lines, 1)).unionByName(row(packed.drop("data"), 2))
     valued = every.repartition("kind", "part").sortWithinPartitions("kind", "part", "step").mapInArrow(_valued(depth, split), _PIECES_SQL)
-    both = valued.unionByName(found.where(f"kind = {_TEXTS}")).select("piece", "kind", "n", "keys", "data")
-    scored = both.repartition("piece").sortWithinPartitions("piece", "kind").mapInArrow(_scored(depth), "doc_id long, n_bytes long, n_tokens long, n_known long, words double, score double")
+    both = valued.unionByName(found.where(f"kind = {_TEXTS}")).select("piece", "kind", "part", "n", "data")
+    scored = both.repartition("piece").sortWithinPartitions("piece", "kind", "part").mapInArrow(_scored(depth, parts), "doc_id long, n_bytes long, n_tokens long, n_known long, words double, score double")
     return scored.select("doc_id", held_out("doc_id", modulus, held).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("words") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score", "n_bytes", (-F.col("score") * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
