@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code has one bit for each of its first 64 numbers, set where the number is above zero. Codes lie in shards of about
-`shard` codes; a shard indexes its codes in `segments` equal parts. A query looks up its own value of each part, then all
+`shard` codes; a shard indexes its codes in `segments` equal parts (by its size: 4, or 8 below 4096 codes). A query looks up its own value of each part, then all
 values at Hamming distance 1, 2, ... from it; once radius r is done in every part, every code within segments * (r + 1) - 1
 bits has been met, and the query ends as soon as its k-th verified distance is not above that. A code is taken at the
 smallest (radius, part) that shows it, so it comes once. Where a radius has more values than the shard has codes, the codes
@@ -9,7 +9,8 @@ themselves are all verified. The nearest of all shards are ranked at last.
 
 Equal codes are one class: shards hold each code once, with its k + 1 smallest ids, which suffice because ties are ordered by
 id. Queries with one code are answered together. Each block of queries meets each shard in one task, whose memory is bounded
-by the sizes of both; it gives `most` rows for a query at most.
+by the sizes of both; it gives `most` rows for a query at most. Shards and blocks are large, so that few copies of either are
+sent: for n codes and m queries n * m / block + n * m / shard rows.
 
 An id with several codes may be met in several classes. So `most` is one more than the k largest numbers of codes per id
 together, which are counted first: that many pairs of id and code hold more than k ids. It is k + 1 where ids are unique.
@@ -34,7 +35,7 @@ from pyspark.sql.window import Window
 from heddle.llm.common import written
 
 BITS = 64
-SHARD, BLOCK = 32_768, 2048
+SHARD, BLOCK = 32_768, 32_768
 
 
 def codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -47,7 +48,8 @@ def codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 class Shard:
     """A multi-index over distinct codes; held: how many ids each code stands for."""
 
-    def __init__(self, code: np.ndarray, first_id: np.ndarray, held: np.ndarray, segments: int):
+    def __init__(self, code: np.ndarray, first_id: np.ndarray, held: np.ndarray, segments: int | None = None):
+        segments = segments or (4 if len(code) >= 4096 else 8)  # parts of about log2(codes) bits, so that radii grow instead of a scan
         self.code, self.first_id, self.held = code.astype(np.uint64), first_id, held
         self.segments, self.width = segments, BITS // segments
         self.low = np.uint64((1 << self.width) - 1)
@@ -96,7 +98,7 @@ def _masks(width: int, radius: int, known: dict = {}) -> np.ndarray:  # noqa: B0
     return known[width, radius]
 
 
-def _searched(k: int, segments: int):
+def _searched(k: int, segments: int | None):
     """Rows (shard, block, asks, code, first_id, held) arrive by (shard, block), codes before queries."""
     schema = pa.schema([("q", pa.int64()), ("code", pa.int64()), ("distance", pa.int32()), ("first_id", pa.int64())])
 
@@ -123,7 +125,7 @@ def _searched(k: int, segments: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", segments: int = 4, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", segments: int | None = None, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): the k nearest of vectors for each of queries, by distance, then id."""
     entries = written(codes(vectors, id_col, vector_col), "codes")
     asked = written(codes(queries, id_col, vector_col), "asked-codes")
@@ -133,10 +135,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     index = entries.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     index = written(index, "code-index")
     q = written(asked.select(F.col("code").alias("q")).distinct(), "query-codes")
-    shards, blocks = -(-index.count() // shard) or 1, -(-q.count() // block) or 1
+    shards, asking = -(-index.count() // shard) or 1, q.count()
+    # at most `block` queries meet a shard in one task; where cores would be idle, fewer
+    blocks = max(-(-asking // block), min(-(-2 * vectors.sparkSession.sparkContext.defaultParallelism // shards), asking)) or 1
     stored = index.select(F.expr(f"pmod(xxhash64(code), {shards})").alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), F.lit(False).alias("asks"), "code", F.expr("ids[0]").alias("first_id"), F.size("ids").cast("long").alias("held"))
     sent = q.select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.expr(f"pmod(xxhash64(q, 1), {blocks})").alias("block"), F.lit(True).alias("asks"), F.col("q").alias("code"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("long").alias("held"))
-    dealt = stored.unionByName(sent).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
+    dealt = stored.unionByName(sent).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "asks")
     found = dealt.mapInArrow(_searched(most, segments), "q long, code long, distance int, first_id long")
     rank = Window.partitionBy("q").orderBy("distance", "first_id")
     best = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
