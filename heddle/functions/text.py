@@ -24,6 +24,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def even_lines(c: Column) -> Column:
+    """Blanks and tabs collapse, three line feeds or more become two; none of them at the ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
+
+
 def tokens(c: Column, least: int = 1) -> Column:
     """Canonical tokens: lower case, letters with ' and -, none of these at the ends, `least` letters or more."""
     found = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))

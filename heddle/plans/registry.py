@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _all() -> None:
-    from heddle.plans import cleaning, corpus, discovery, exports, hierarchy, increments, mining, quality, relational, retrieval, search, series, texts  # noqa: F401
+    from heddle.plans import cleaning, corpus, discovery, exports, hierarchy, increments, mining, quality, relational, retrieval, routine, search, series, sources, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
