@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from heddle.functions import text as T
 
@@ -25,7 +26,7 @@ def corrected(c: Column, table: list[tuple[str, str]]) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition; null stays null."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

@@ -7,6 +7,7 @@ import base64
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from heddle.functions import cleaning as K
 from heddle.functions import text as T
@@ -162,13 +163,13 @@ def audit_score(spark, sf):
     return g.select("l_orderkey", K.error_score(F.col("e"), F.col("w")).alias("score"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def encoded_vector(s: pd.Series) -> pd.Series:
     """A vector as base64 of its float32 numbers."""
     return s.map(lambda v: base64.b64encode(np.asarray(v, np.float32).tobytes()).decode())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decoded_vector(s: pd.Series) -> pd.Series:
     return s.map(lambda t: np.frombuffer(base64.b64decode(t), np.float32).tolist())
 
