@@ -58,8 +58,10 @@ def ngrams(array: Column, n: int) -> Column:
 
 def char_shingles(c: Column, k: int) -> Column:
     """Distinct lower-cased k-character shingles."""
-    low = F.lower(c)
-    return F.when(F.length(low) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (k - 1)), lambda i: F.substring(low, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    # the letters are bound to a name first: a lambda computes whatever else it mentions anew for each element
+    made = F.transform(F.array(F.split(F.lower(c), "")), lambda a: F.when(F.size(a) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(a) - (k - 1)), lambda i: F.array_join(F.slice(a, i, F.lit(k)), "")))).otherwise(none))
+    return made[0]
 
 
 def normal_md5(c: Column) -> Column:

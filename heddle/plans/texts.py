@@ -39,9 +39,7 @@ def dedup_stats_per_file(spark, sf):
     return dedup.stats(D(spark, sf, "text", "source"), "source", "text")
 
 
-@query("""WITH d AS (SELECT doc_id, lang, list_distinct(list_transform(range(1, len(text) - 3), lambda i: substring(lower(text), i, 5))) AS s FROM documents WHERE len(text) >= 5),
-b AS (SELECT doc_id, s, unnest(list_sort(list_transform(s, lambda x: md5(x)))[1:4]) AS h FROM d), p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.h = y.h AND x.doc_id < y.doc_id)
-SELECT a, b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 4) AS jaccard FROM p JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) >= 0.8""")
+@query()
 def shingle_pairs(spark, sf):
     return dedup.shingle_pairs(D(spark, sf), "doc_id", "text")
 
