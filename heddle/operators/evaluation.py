@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +23,24 @@ def per_tag(pairs: DataFrame) -> DataFrame:
     return g.select("tag", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1"))
 
 
-def boundaries(parts: Column) -> Column:
-    """Cumulative lengths of the parts: where each ends."""
-    return F.aggregate(parts, F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x)))
-
-
 def boundary_scores(pairs: DataFrame) -> DataFrame:
-    """(id, precision, recall, exact) of segmentations (id, gold, pred: arrays of parts)."""
-    g, p = F.array_distinct(boundaries(F.col("gold"))), F.array_distinct(boundaries(F.col("pred")))  # empty parts end where the part before does
-    met = F.size(F.array_intersect(g, p))
-    return pairs.select("id", F.round(F.when(F.size(p) > 0, met / F.size(p)).otherwise(0.0), 4).alias("precision"), F.round(F.when(F.size(g) > 0, met / F.size(g)).otherwise(0.0), 4).alias("recall"), (F.col("gold") == F.col("pred")).alias("exact"))
+    """(id, precision, recall, exact) of segmentations (id, gold, pred: arrays of parts) by where parts end; linear in their number.
+
+    Empty parts end where the part before does. Only the lengths of the parts leave the JVM.
+    """
+
+    @F.pandas_udf("precision double, recall double")
+    def scored(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
+        rows = []
+        for g, p in zip(gold, pred, strict=True):
+            g, p = (np.unique(np.cumsum(np.asarray(x if x is not None else [], np.int64))) for x in (g, p))
+            met = len(np.intersect1d(g, p, assume_unique=True))
+            rows.append((met / len(p) if len(p) else 0.0, met / len(g) if len(g) else 0.0))
+        return pd.DataFrame(rows, columns=["precision", "recall"])
+
+    sizes = lambda c: F.transform(c, F.length)
+    s = pairs.select("id", (F.col("gold") == F.col("pred")).alias("exact"), scored(sizes("gold"), sizes("pred")).alias("s"))
+    return s.select("id", F.round("s.precision", 4).alias("precision"), F.round("s.recall", 4).alias("recall"), "exact")
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
