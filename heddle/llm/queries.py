@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.bpe import encoded
+from heddle.llm.collocations import collocations
 from heddle.llm.ctw import scores
 from heddle.llm.decontaminate import contamination, is_contaminated
 from heddle.llm.hamming import top_k
@@ -89,3 +90,10 @@ def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_hamming_top_k": op3_hamming_top_k}
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op13_collocations": op13_collocations}
