@@ -31,14 +31,14 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(tr
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
 g AS (SELECT lang, w, d, unnest(range(1, len(w) - d + 2)) AS s FROM w, (VALUES (1), (2), (3)) AS k(d) WHERE len(w) >= d),
-f AS (SELECT lang, w[s : s + d - 1] AS t, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
-c AS (SELECT * FROM f WHERE len(t) >= 2),
-held AS (SELECT lang, t, max(a) AS longer FROM (SELECT lang, t[1:2] AS t, a FROM c WHERE len(t) = 3 UNION ALL SELECT lang, t[2:3] AS t, a FROM c WHERE len(t) = 3) GROUP BY ALL),
-cut AS (SELECT c.lang, c.t, c.a, k, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
-  FROM c JOIN (VALUES (1), (2)) AS x(k) ON k < len(c.t)
-  JOIN f AS l ON l.lang = c.lang AND l.t = c.t[1:k] JOIN f AS r ON r.lang = c.lang AND r.t = c.t[k + 1 : len(c.t)]),
+f AS MATERIALIZED (SELECT lang, d, array_to_string(w[s : s + d - 1], ' ') AS t, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, d, t, a, split_part(t, ' ', 1) AS w1, split_part(t, ' ', 2) AS w2, split_part(t, ' ', 3) AS w3 FROM f WHERE d >= 2),
+held AS (SELECT lang, t, max(a) AS longer FROM (SELECT lang, w1 || ' ' || w2 AS t, a FROM c WHERE d = 3 UNION ALL SELECT lang, w2 || ' ' || w3 AS t, a FROM c WHERE d = 3) GROUP BY ALL),
+way AS (SELECT lang, t, a, 1 AS k, w1 AS first, CASE d WHEN 2 THEN w2 ELSE w2 || ' ' || w3 END AS last FROM c UNION ALL SELECT lang, t, a, 2, w1 || ' ' || w2, w3 FROM c WHERE d = 3),
+cut AS (SELECT way.lang, way.t, way.a, k, l.a AS l, r.a AS r, (1000000::HUGEINT * way.a * way.a) // (l.a::HUGEINT * r.a) AS score
+  FROM way JOIN f AS l ON l.lang = way.lang AND l.t = way.first JOIN f AS r ON r.lang = way.lang AND r.t = way.last),
 best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, t ORDER BY score, k) = 1),
-ranked AS (SELECT best.lang, array_to_string(best.t, ' ') AS phrase, best.a, l, r, score::BIGINT AS score
+ranked AS (SELECT best.lang, best.t AS phrase, best.a, l, r, score::BIGINT AS score
   FROM best LEFT JOIN held ON held.lang = best.lang AND held.t = best.t WHERE longer IS NULL OR 100 * longer < 50 * best.a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM ranked JOIN n USING (lang) QUALIFY rank <= 2000
