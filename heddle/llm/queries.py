@@ -10,12 +10,14 @@ from heddle.llm.collocations import collocations
 from heddle.llm.ctw import scores
 from heddle.llm.decontaminate import contamination, is_contaminated
 from heddle.llm.hamming import top_k
+from heddle.llm.itq import near_duplicates
 from heddle.llm.jaccard import jaccard_components
 from heddle.llm.line_dedup import line_dedup
 from heddle.llm.quality import quality_scores
 from heddle.llm.secrets import secrets
 from heddle.llm.suffixes import without_repeats
 from heddle.llm.toxicity import THRESHOLD, toxicity_scores
+from heddle.llm.whitening import whitened_components
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,3 +99,17 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op13_collocations": op13_collocations}
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op11_whitening": op11_whitening}
+
+
+def op12_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op12_itq_near_dedup": op12_itq_near_dedup}

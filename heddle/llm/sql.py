@@ -44,4 +44,14 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM ranked JOIN n USING (lang) QUALIFY rank <= 2000
 """
 
-ORACLE_SQL = {"op3_hamming_top_k": OP3, "op10_decontaminate": OP10, "op13_collocations": OP13}
+OP12 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+ORACLE_SQL = {"op3_hamming_top_k": OP3, "op10_decontaminate": OP10, "op12_itq_near_dedup": OP12, "op13_collocations": OP13}
