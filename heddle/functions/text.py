@@ -31,8 +31,9 @@ def even_lines(c: Column) -> Column:
 
 def tokens(c: Column, least: int = 1) -> Column:
     """Canonical tokens: lower case, letters with ' and -, none of these at the ends, `least` letters or more."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
-    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, "^[-']+|[-']+$", "")), lambda x: F.length(x) >= max(least, 1))
+    letter = TOKEN.removesuffix("+").replace("'-", "")
+    found = F.regexp_extract_all(F.lower(c), F.lit(f"{letter}(?:{TOKEN.removesuffix('+')}*{letter})?"), F.lit(0))
+    return F.filter(found, lambda x: F.length(x) >= least) if least > 1 else found
 
 
 def query_tokens(c: Column, stop: list[str], most: int = 6) -> Column:

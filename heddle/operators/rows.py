@@ -14,9 +14,11 @@ from pyspark.sql.window import Window
 from heddle.functions.text import is_blank
 
 
-def first_per_key(df: DataFrame, keys: list, order: list, n: int = 1) -> DataFrame:
-    """The first n rows of each key in the given order."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+def first_per_key(df: DataFrame, keys: list, order: list, n: int = 1, rank: str | None = None) -> DataFrame:
+    """The first n rows of each key in the given order; `rank` names a column for their places from 1."""
+    place = rank or "__r"
+    first = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= n)
+    return first if rank else first.drop(place)
 
 
 def completeness(*columns: str) -> Column:
