@@ -101,7 +101,7 @@ class Segmenter:
     weights: np.ndarray
 
 
-def _by_length(words: list[str], most: int = 4096) -> Iterator[np.ndarray]:
+def _by_length(words: list[str], most: int = 1 << 16) -> Iterator[np.ndarray]:
     size = np.array([len(w) for w in words])
     for s in np.unique(size[size > 0]):
         at = np.flatnonzero(size == s)
@@ -109,7 +109,7 @@ def _by_length(words: list[str], most: int = 4096) -> Iterator[np.ndarray]:
             yield at[k : k + max(1, most // int(s))]
 
 
-def train(gold: DataFrame, rounds: int = 60, l2: float = L2) -> Segmenter:
+def train(gold: DataFrame, rounds: int = 30, l2: float = L2) -> Segmenter:
     """Fits rows (word, syllables); rows whose syllables do not spell the word do not teach."""
     g = gold.select(F.lower("word").alias("word"), F.col("syllables")).where(F.lower(F.array_join("syllables", "")) == F.col("word")).where("word <> ''")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from heddle.operators import corpus as C
 from heddle.operators import search as S
+from heddle.operators import vector_index as VI
 from heddle.plans.fragments import D
+from heddle.plans.folders import checkpoints
 from heddle.plans.registry import query
+from heddle.sources.versions import Versions
 from heddle.tables import load
 
 _TERMS = [(1, "idiot"), (1, "the"), (2, "les"), (2, "dans"), (3, "license"), (3, "public")]
@@ -36,13 +41,26 @@ def lexical_passes(spark, sf):
 _COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 
 
-@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, round({_COS.format(a='q.v', b='e.v')}, 4) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, neighbour_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS r FROM s WHERE score >= 0.35) WHERE r <= 10""")
+_NEAREST = f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, round({_COS.format(a='q.v', b='e.v')}, 4) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, neighbour_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS r FROM s WHERE score >= 0.35) WHERE r <= 10"""
+
+
+@query(_NEAREST)
 def vector_top_k(spark, sf):
     e = load(spark, sf, "embeddings")
     return S.nearest(e, e.where("vec_id % 20 = 0"), 10, 0.35)
 
 
+@query(_NEAREST)
+def vector_index_top_k(spark, sf):
+    """The same through a stored index that is built first."""
+    e = load(spark, sf, "embeddings")
+    store = Versions(spark, f"{checkpoints(spark)}/vectors-{uuid.uuid4().hex}")
+    VI.build(store, e)
+    return VI.searched(store, e.where("vec_id % 20 = 0"), 10, 0.35)[0]
+
+
+
 @query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), g AS (SELECT list_transform(range(1, 65), lambda i: (b.v[i] - a.v[i]) + c.v[i]) AS goal FROM e a, e b, e c WHERE a.vec_id = 1 AND b.vec_id = 2 AND c.vec_id = 3)
 SELECT vec_id AS neighbour_id, round({_COS.format(a='v', b='goal')}, 4) AS score FROM e, g WHERE vec_id NOT IN (1, 2, 3) ORDER BY score DESC, neighbour_id LIMIT 5""")
 def vector_analogy(spark, sf):

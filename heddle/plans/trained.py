@@ -42,7 +42,7 @@ def trained_syllables(spark, sf):
 
     w = load(spark, sf, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).distinct().where("word rlike '^[a-zà-ɏ]+$'")
     path = f"{checkpoints(spark)}/syllables-{uuid.uuid4().hex}"
-    w.select("word", ruled("word").alias("gold"), F.expr(_HELD.format("word")).alias("held_out")).write.parquet(path)
+    w.select("word", ruled("word").alias("gold"), F.expr(_HELD.format("word")).alias("held_out")).repartition(2 * spark.sparkContext.defaultParallelism, "word").write.parquet(path)  # each round uses all cores
     w = spark.read.parquet(path)
     model = crf.train(w.where("not held_out").select("word", F.col("gold").alias("syllables")))
     return crf.segmented(w, model).select("word", "held_out", F.array_join("syllables", "-").alias("syllables"), F.array_join("gold", "-").alias("rule"))
