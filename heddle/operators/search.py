@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from operator import or_
@@ -113,29 +114,60 @@ def analogy(vectors: DataFrame, a: int, b: int, c: int, k: int = 5, id_col: str
     return s.select(F.col(id_col).alias("neighbour_id"), F.round(T.cosine(F.col(vector), F.col("goal")), 4).alias("score")).orderBy(F.desc("score"), "neighbour_id").limit(k)
 
 
-def hybrid(tables: dict[str, tuple[DataFrame, str, str, str]], query: str, k: int = 10, fuzzy: DataFrame | None = None, dense: DataFrame | None = None) -> DataFrame:
-    """(table_name, id, score, way): all ways of search in one ranking.
+#: Share of a score that a match of one query word keeps.
+WORD_SHARE = 0.95
 
-    Each table is (rows, id, first column, second column). Ways and scores: exact and second exact 1.0, prefix .9, contained .7
-    (.665 for one query word), any word .6; full text .75 + .2 * relevance (`fuzzy`: table_name, id, relevance); vectors by
-    their own score (`dense`: table_name, id, score). Of several ways to one row the first in this order counts; then the best
-    k by score, table and id.
+
+def hybrid(tables: dict[str, tuple[DataFrame, str, str, str]], query: str, k: int = 10, stop: list[str] = (), text: DataFrame | None = None, dense: DataFrame | None = None, pass_limit: int = 20) -> DataFrame:
+    """(table_name, id, score, way): lexical ways, full text and vectors in one ranking.
+
+    Each table is (rows, id, first column, second column). Ways in order, each for the whole query and then for its words at
+    WORD_SHARE: first column equal 1.0, second equal 1.0, first starts with it .9, contains it .7; any word in either column .6. `text` is (table_name, id,
+    score) by BM25: its best `pass_limit` rows score .75 + .2 * their share of the best. `dense` is (table_name, id, score) by cosine; it joins in for a query of
+    two words or more, or where no other way reaches .9. Of several ways to one row the first in this order counts; then the
+    best k by score, table and id.
     """
-    q, terms = query.lower(), query.lower().split()
+    q = query.lower()
+    words = list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", q) if w not in stop))[:6]
+    asked = [(q, 1.0), *((w, WORD_SHARE) for w in words if w != q)]
     hits = None
     for name, (df, id_col, first, second) in tables.items():
         low, other = F.lower(first), F.lower(second)
-        some = [low.contains(t) | other.contains(t) for t in terms]
-        ways = [("exact", low == q, 1.0), ("second", other == q, 1.0), ("prefix", low.startswith(q), 0.9), ("contains", low.contains(q), 0.7), ("word", F.arrays_overlap(F.split(low, r"\s+"), F.array(*map(F.lit, terms))), 0.665), ("any", reduce(or_, some, F.lit(False)), 0.6)]
-        way = F.coalesce(*[F.when(c, F.struct(F.lit(n).alias("rank"), F.lit(w).alias("way"), F.lit(s).alias("score"))) for n, (w, c, s) in enumerate(ways)])
+        ways = [("exact", low == t, d) for t, d in asked] + [("second", other == t, d) for t, d in asked] + [("prefix", low.startswith(t), 0.9 * d) for t, d in asked] + [("contains", low.contains(t), 0.7 * d) for t, d in asked]
+        ways.append(("any", reduce(or_, [low.contains(w) | other.contains(w) for w in words], F.lit(False)), 0.6))
+        way = F.coalesce(*[F.when(c, F.struct(F.lit(n).alias("rank"), F.lit(w).alias("way"), F.lit(round(s, 4)).alias("score"))) for n, (w, c, s) in enumerate(ways)])
         found = df.select(F.lit(name).alias("table_name"), F.col(id_col).cast("long").alias("id"), way.alias("x")).where("x is not null").select("table_name", "id", "x.*")
         hits = found if hits is None else hits.unionByName(found)
-    if fuzzy is not None:
-        hits = hits.unionByName(fuzzy.select("table_name", "id", F.lit(6).alias("rank"), F.lit("text").alias("way"), F.round(0.75 + 0.2 * F.col("relevance"), 4).alias("score")))
+    if text is not None:
+        near = text.orderBy(F.desc("score"), "table_name", "id").limit(pass_limit)
+        best = near.agg(F.max("score").alias("most"))  # one row
+        ranked = near.join(F.broadcast(best)).select("table_name", "id", F.lit(1000).alias("rank"), F.lit("text").alias("way"), F.round(0.75 + 0.2 * F.col("score") / F.col("most"), 4).alias("score"))
+        hits = hits.unionByName(ranked)
     if dense is not None:
-        hits = hits.unionByName(dense.select("table_name", "id", F.lit(7).alias("rank"), F.lit("vector").alias("way"), "score"))
-    best = hits.groupBy("table_name", "id").agg(F.min(F.struct("rank", "way", "score")).alias("x"))
-    return best.select("table_name", "id", F.col("x.score").alias("score"), F.col("x.way").alias("way")).orderBy(F.desc("score"), "table_name", "id").limit(k)
+        rows = dense.select("table_name", "id", F.lit(1001).alias("rank"), F.lit("vector").alias("way"), "score")
+        if len(words) < 2:
+            reached = hits.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("reached"))  # one row
+            rows = rows.join(F.broadcast(reached)).where("reached < 0.9").drop("reached")
+        hits = hits.unionByName(rows)
+    first = hits.groupBy("table_name", "id").agg(F.min(F.struct("rank", "way", "score")).alias("x"))
+    return first.select("table_name", "id", F.col("x.score").alias("score"), F.col("x.way").alias("way")).orderBy(F.desc("score"), "table_name", "id").limit(k)
+
+
+def tiered(queries: DataFrame, tiers: list[tuple[str, DataFrame, float]], enough: int = 1, per_word: int = 3) -> DataFrame:
+    """(query_id, tier, word, item, evidence, confidence): evidence for queries (query_id, words) from tiers (name, rows (word, item, evidence), confidence), best first.
+
+    A tier is asked only for queries that the earlier ones left with fewer than `enough` rows, and gives `per_word` rows a word, by
+    item. Each tier keeps its `per_word` first rows of a word before it meets the queries, so that a frequent word makes no large join.
+    """
+    open_ = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
+    found = None
+    for name, rows, confidence in tiers:
+        top = first_per_key(rows.select("word", "item", "evidence"), ["word"], ["item", "evidence"], per_word)
+        hit = open_.join(top, "word").select("query_id", F.lit(name).alias("tier"), "word", "item", "evidence", F.lit(confidence).alias("confidence"))
+        found = hit if found is None else found.unionByName(hit)
+        closed = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
+        open_ = open_.join(closed.select("query_id"), "query_id", "left_anti")
+    return found
 
 
 def completion_chain(bigrams: DataFrame, start: str, most: int = 20) -> list[str]:

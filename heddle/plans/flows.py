@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
 
+from heddle.operators import in_place as P
 from heddle.plans.folders import checkpoints
 from heddle.plans.fragments import TOK
 from heddle.plans.registry import query
+from heddle.sources import database as DB
 from heddle.sources.versions import Versions
 from heddle.streaming import frontier as C
 from heddle.streaming import updates as U
@@ -87,3 +90,49 @@ def crawl_frontier(spark, sf):
 @query(_FETCHED + " SELECT sha256(html) AS digest, arg_min(address, (sec, address)) AS address, count(*)::BIGINT AS times FROM f WHERE address <> '' GROUP BY 1")
 def saved_text_state(spark, sf):
     return C.state_table(spark, f"{_crawled(spark, sf)}/texts", "first").select("digest", "address", "times")
+
+
+def _squeeze(c):
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
+
+
+_CLEANED = r"""WITH p AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS n FROM documents),
+q AS (SELECT *, CASE WHEN n = '' AND text <> '' THEN text ELSE n END AS new FROM p),
+m AS (SELECT source, new, min(doc_id) AS first FROM q WHERE new <> text AND source IS NOT NULL GROUP BY ALL), h AS (SELECT DISTINCT source, text FROM q WHERE source IS NOT NULL),
+r AS (SELECT q.*, q.new IS DISTINCT FROM q.text AS moved, q.new IS DISTINCT FROM q.text AND coalesce(h.text IS NOT NULL OR m.first <> q.doc_id, false) AS refused FROM q LEFT JOIN m ON m.source = q.source AND m.new = q.new LEFT JOIN h ON h.source = q.source AND h.text = q.new)"""
+
+
+def _in_place(spark, sf):
+    """Documents whose white space is squeezed in place, texts unique per source; the run is stopped after three batches and resumed."""
+    store = Versions(spark, f"{checkpoints(spark)}/cleaned-{uuid.uuid4().hex}")
+    store.commit({"documents": load(spark, sf, "documents")})
+    how = {"cleaners": {"text": _squeeze}, "unique": [["source", "text"]], "batches": 5}
+    P.clean(store, "documents", "doc_id", stop_after=3, **how)
+    P.clean(store, "documents", "doc_id", **how)
+    return store
+
+
+@query(_CLEANED + " SELECT doc_id, sha256(coalesce(CASE WHEN refused THEN text ELSE new END, '')) AS text_sha256 FROM r")
+def in_place_clean(spark, sf):
+    return _in_place(spark, sf).read("documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query(_CLEANED + " SELECT doc_id, 'text' AS field, sha256(text) AS old_sha256, sha256(new) AS new_sha256 FROM r WHERE moved AND NOT refused")
+def in_place_audit(spark, sf):
+    return _in_place(spark, sf).read("documents_audit").select("doc_id", "field", F.sha2("old_value", 256).alias("old_sha256"), F.sha2("new_value", 256).alias("new_sha256"))
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END::DOUBLE AS o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN '2' ELSE '1' END AS updated_at FROM orders""")
+def database_sync(spark, sf):
+    """Orders written to a database, then newer rows of a third and older rows of another third; read back in ranges of the key."""
+    root = checkpoints(spark)
+    if root.split(":")[0] not in (root, "file"):
+        raise ValueError("a database in a file needs a shared folder that is mounted")
+    folder = root.removeprefix("file:").replace("//", "/")
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/sync-{uuid.uuid4().hex}.db"
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.lit("1").alias("updated_at"))
+    DB.write(o, path, "orders", "o_orderkey", "updated_at")
+    news = o.where("o_orderkey % 3 <> 2").withColumn("updated_at", F.when(F.col("o_orderkey") % 3 == 0, "2").otherwise("0")).withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    DB.write(news, path, "orders", "o_orderkey", "updated_at")
+    return DB.read(spark, path, "orders", o.schema, "o_orderkey")

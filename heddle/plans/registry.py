@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _all() -> None:
-    from heddle.plans import cleaning, corpus, discovery, exports, flows, hierarchy, increments, mining, observation, quality, relational, retrieval, routine, search, series, sources, texts, trained  # noqa: F401
+    from heddle.plans import cleaning, corpus, discovery, exports, flows, hierarchy, increments, mining, observation, quality, relational, retrieval, routine, search, series, sources, texts, trained, words  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -8,23 +8,48 @@ from heddle.functions import text as T
 from heddle.operators import corpus as C
 from heddle.operators import search as S
 from heddle.operators.rows import first_per_key
-from heddle.plans.fragments import D
+from heddle.plans.fragments import D, TOK
 from heddle.plans.registry import query
 from heddle.tables import load
 
-_WAYS = """SELECT '{t}' AS table_name, id, CASE WHEN a = 'small ring' THEN 0 WHEN b = 'small ring' THEN 1 WHEN starts_with(a, 'small ring') THEN 2 WHEN contains(a, 'small ring') THEN 3 WHEN list_has_any(regexp_split_to_array(a, '\\s+'), ['small', 'ring']) THEN 4 WHEN contains(a, 'small') OR contains(b, 'small') OR contains(a, 'ring') OR contains(b, 'ring') THEN 5 END AS rank FROM ({q})"""
-_NAME = "element_at(MAP {0: ('exact', 1.0), 1: ('second', 1.0), 2: ('prefix', 0.9), 3: ('contains', 0.7), 4: ('word', 0.665), 5: ('any', 0.6)}, rank)"
+_ASKED = ("small ring", "small", "ring")
+_WAYS = "SELECT '{t}' AS table_name, id, CASE " + " ".join(f"WHEN {how} THEN {k}" for k, how in enumerate([f"a = '{t}'" for t in _ASKED] + [f"b = '{t}'" for t in _ASKED] + [f"starts_with(a, '{t}')" for t in _ASKED] + [f"contains(a, '{t}')" for t in _ASKED] + [" OR ".join(f"contains(a, '{t}') OR contains(b, '{t}')" for t in _ASKED[1:])])) + " END AS rank FROM ({q})"
+_NEAR = "list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v)))"
 
 
-@query(f"""WITH h AS ({_WAYS.format(t='part', q="SELECT p_partkey AS id, lower(p_name) AS a, lower(p_type) AS b FROM part")} UNION ALL {_WAYS.format(t='supplier', q="SELECT s_suppkey AS id, lower(s_name) AS a, '' AS b FROM supplier")}
-UNION ALL SELECT 'document', doc_id, 6 FROM documents WHERE contains(lower(text), 'public license') UNION ALL SELECT 'vector', vec_id, 7 FROM embeddings WHERE embedding[1] > 0.3),
-b AS (SELECT table_name, id, min(rank) AS rank FROM h WHERE rank IS NOT NULL GROUP BY 1, 2), s AS (SELECT table_name, id, CASE rank WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.9 WHEN 3 THEN 0.7 WHEN 4 THEN 0.665 WHEN 5 THEN 0.6 WHEN 6 THEN 0.85 ELSE 0.3 END::DOUBLE AS score,
-['exact', 'second', 'prefix', 'contains', 'word', 'any', 'text', 'vector'][rank + 1] AS way FROM b) SELECT * FROM s ORDER BY score DESC, table_name, id LIMIT 300""")
+@query(rf"""WITH d AS ({D}), tot AS (SELECT count(*) AS n, avg(len(t)) AS al FROM d), tf AS (SELECT term, doc_id, length, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d) WHERE term IN ('public', 'license') GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), bm AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 4) AS score FROM tf JOIN df USING (term), tot GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), vec AS (SELECT e.vec_id, round({_NEAR}, 4) AS score FROM e JOIN e AS q ON q.vec_id = 20 AND e.vec_id <> 20 ORDER BY score DESC, vec_id LIMIT 40),
+h AS ({_WAYS.format(t='part', q="SELECT p_partkey AS id, lower(p_name) AS a, lower(p_type) AS b FROM part")} UNION ALL {_WAYS.format(t='supplier', q="SELECT s_suppkey AS id, lower(s_name) AS a, lower(s_name) AS b FROM supplier")}),
+x AS (SELECT table_name, id, [1.0, .95, .95, 1.0, .95, .95, .9, .855, .855, .7, .665, .665, .6][rank + 1]::DOUBLE AS score, ['exact', 'exact', 'exact', 'second', 'second', 'second', 'prefix', 'prefix', 'prefix', 'contains', 'contains', 'contains', 'any'][rank + 1] AS way FROM h WHERE rank IS NOT NULL
+UNION ALL SELECT 'document', doc_id, round(0.75 + 0.2 * score / (SELECT max(score) FROM bm), 4), 'text' FROM bm UNION ALL SELECT 'vector', vec_id, score, 'vector' FROM vec)
+SELECT * FROM x ORDER BY score DESC, table_name, id LIMIT 300""")
 def hybrid_search(spark, sf):
-    tables = {"part": (load(spark, sf, "part"), "p_partkey", "p_name", "p_type"), "supplier": (load(spark, sf, "supplier").withColumn("none", F.lit("")), "s_suppkey", "s_name", "none")}
-    text = load(spark, sf, "documents").where(F.lower("text").contains("public license")).select(F.lit("document").alias("table_name"), F.col("doc_id").alias("id"), F.lit(0.5).alias("relevance"))
-    dense = load(spark, sf, "embeddings").where("embedding[0] > 0.3").select(F.lit("vector").alias("table_name"), F.col("vec_id").alias("id"), F.lit(0.3).alias("score"))
-    return S.hybrid(tables, "small ring", 300, text, dense)
+    """Parts and suppliers by name, documents by BM25 over all of them, vectors by cosine to one of them."""
+    tables = {"part": (load(spark, sf, "part"), "p_partkey", "p_name", "p_type"), "supplier": (load(spark, sf, "supplier"), "s_suppkey", "s_name", "s_name")}
+    terms = spark.createDataFrame([(1, "public"), (1, "license")], "query_id int, term string")
+    text = S.bm25(C.tokenized(load(spark, sf, "documents")), terms, 20).select(F.lit("document").alias("table_name"), F.col("doc_id").alias("id"), "score")
+    e = load(spark, sf, "embeddings")
+    dense = S.nearest(e, e.where("vec_id = 20"), 40, -1.0).select(F.lit("vector").alias("table_name"), F.col("neighbour_id").alias("id"), "score")
+    return S.hybrid(tables, "small ring", 300, [], text, dense)
+
+
+@query(rf"""WITH q AS (SELECT item_id AS query_id, list_distinct({TOK.format("text")}) AS words FROM benchmark), o AS (SELECT query_id, unnest(words) AS word FROM q), d AS ({D}),
+n AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(t) AS word FROM d) GROUP BY 1),
+t1 AS (SELECT DISTINCT p_partkey AS item, p_name AS evidence, unnest({TOK.format("p_name")}) AS word FROM part), t2 AS (SELECT 0::BIGINT AS item, n::VARCHAR || ' in ' || docs::VARCHAR AS evidence, word FROM n WHERE n < 40),
+t3 AS (SELECT DISTINCT doc_id AS item, coalesce(source, '') AS evidence, unnest(t) AS word FROM d),
+top AS (SELECT *, row_number() OVER (PARTITION BY tier, word ORDER BY item, evidence) AS r FROM (SELECT 1 AS tier, * FROM t1 UNION ALL SELECT 2, * FROM t2 UNION ALL SELECT 3, * FROM t3) QUALIFY r <= 3),
+a AS (SELECT query_id, tier, o.word, item, evidence FROM o JOIN top USING (word)), s AS (SELECT query_id, tier, count(*) AS n FROM a GROUP BY ALL)
+SELECT query_id, ['name', 'count', 'document'][tier] AS tier, word, item, evidence, [0.95, 0.85, 0.75][tier]::DOUBLE AS confidence FROM a WHERE (SELECT coalesce(sum(n), 0) FROM s WHERE s.query_id = a.query_id AND s.tier < a.tier) < 8""")
+def tiered_evidence(spark, sf):
+    """Evidence for the words of each benchmark item: names of parts, then counts of rare words, then documents, until eight rows are found."""
+    d = C.tokenized(load(spark, sf, "documents"), "source")
+    n = d.select("doc_id", F.explode("tokens").alias("word")).groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    names = load(spark, sf, "part").select(F.explode(F.array_distinct(T.tokens(F.col("p_name")))).alias("word"), F.col("p_partkey").alias("item"), F.col("p_name").alias("evidence"))
+    counts = n.where("n < 40").select("word", F.lit(0).cast("long").alias("item"), F.concat(F.col("n").cast("string"), F.lit(" in "), F.col("docs").cast("string")).alias("evidence"))
+    texts = d.select(F.explode(F.array_distinct("tokens")).alias("word"), F.col("doc_id").alias("item"), F.coalesce("source", F.lit("")).alias("evidence"))
+    asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("words"))
+    return S.tiered(asked, [("name", names, 0.95), ("count", counts, 0.85), ("document", texts, 0.75)], 8)
 
 
 @query("""WITH h AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY lower(left(p_brand, 8)) ORDER BY p_retailprice DESC, p_partkey) AS r, p_name FROM part WHERE contains(lower(p_name), 'ring')) SELECT p_brand, p_partkey, p_name FROM h WHERE r <= 3""")
