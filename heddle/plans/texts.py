@@ -54,10 +54,10 @@ def minhash_lsh_dedup(spark, sf):
     return dedup.minhash_keep_first(D(spark, sf), "doc_id", "text")
 
 
-@query(f"""SELECT doc_id, len({TOKENS}) AS n_tokens, array_to_string({TOKENS}[1:5], ' ') AS head FROM documents""")
+@query(f"""SELECT doc_id, len({TOKENS}) AS n_tokens, sha256(array_to_string({TOKENS}, ' ')) AS tokens_sha256 FROM documents""")
 def tokenizer(spark, sf):
     t = T.tokens(F.col("text"))
-    return D(spark, sf).select("doc_id", F.size(t).alias("n_tokens"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
+    return D(spark, sf).select("doc_id", F.size(t).alias("n_tokens"), F.sha2(F.array_join(t, " "), 256).alias("tokens_sha256"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN {sql_list(EN)}) AS l FROM documents), g AS (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS p FROM l) GROUP BY 1, 2),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heddle.functions import text as T
+from heddle.functions.linguistic import Syllables
 from heddle.operators import phonology as P
+from heddle.operators import tagging as G
 from heddle.plans.fragments import D, sql_list
 from heddle.plans.registry import query
 from heddle.tables import load
@@ -55,3 +57,63 @@ def word_analysis(spark, sf):
     senses = load(spark, sf, "documents").where("source is not null").select("source", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).select("word", F.col("source").alias("sense"))
     out = P.analysed(_words(spark, sf), SOUNDS, AFFIXES, spark.createDataFrame(LEXICON, "word string, tag string"), senses)
     return out.select("word", "n", F.array_join("syllables", "|").alias("syllables"), "root", "affix", "pos", F.array_join("senses", "|").alias("senses"))
+
+
+MUNCH = Syllables(frozenset(_ON), frozenset(_NU), frozenset(_CO))
+_ALT = lambda xs: "(" + "|".join(x for x in xs if x) + ")"
+_VALID = f"{_ALT(_ON)}?{_ALT(_NU)}{_ALT(_CO)}?"
+_MUNCHED = f"""WITH RECURSIVE w AS (SELECT word, count(*) AS n FROM (SELECT unnest(t) AS word FROM ({D})) GROUP BY 1),
+s AS (SELECT word, word AS rest, []::VARCHAR[] AS parts FROM w UNION ALL SELECT word, substr(rest, k + 1), parts || [left(rest, k)] FROM (
+SELECT *, coalesce(list_max(list_filter([1, 2, 3, 4, 5, 6], lambda i: i <= length(rest) AND regexp_full_match(left(rest, i), '{_VALID}'))), 1) AS k FROM s WHERE rest <> '')), m AS (SELECT word, parts FROM s WHERE rest = '')"""
+
+
+@query(_MUNCHED + " SELECT word, array_to_string(parts, '|') AS syllables FROM m")
+def syllable_max_munch(spark, sf):
+    return G.max_munch(_words(spark, sf).select("word"), MUNCH).select("word", F.array_join("syllables", "|").alias("syllables"))
+
+
+@query(_MUNCHED + f""", r AS (SELECT word, n, len(parts) AS pred, len({_SYL}) AS gold, list_transform(range(1, len(parts)), lambda i: length(array_to_string(parts[1:i], ''))) AS a, list_transform(range(1, len({_SYL})), lambda i: length(array_to_string(({_SYL})[1:i], ''))) AS b FROM m JOIN w USING (word))
+SELECT CASE WHEN n >= 100 THEN 'frequent' WHEN n >= 10 THEN 'middle' ELSE 'rare' END AS band, CASE WHEN a = b THEN 'equal' WHEN pred > gold THEN 'over' WHEN pred < gold THEN 'under' ELSE 'moved' END AS error, count(*) AS words, sum(len(list_intersect(a, b)))::BIGINT AS shared FROM r GROUP BY 1, 2""")
+def syllable_errors(spark, sf):
+    """Longest match against the vowel rule by how frequent words are: equal, over- and undersegmented, and moved boundaries."""
+    w = G.max_munch(_words(spark, sf), MUNCH).withColumn("gold", P.syllables(F.col("word"), SOUNDS))
+    ends = lambda c: F.expr(f"transform(if(size({c}) > 1, sequence(1, size({c}) - 1), array()), i -> length(array_join(slice({c}, 1, i), '')))")
+    w = w.withColumn("a", ends("syllables")).withColumn("b", ends("gold"))
+    band = F.when(F.col("n") >= 100, "frequent").when(F.col("n") >= 10, "middle").otherwise("rare")
+    error = F.when(F.col("a") == F.col("b"), "equal").when(F.size("syllables") > F.size("gold"), "over").when(F.size("syllables") < F.size("gold"), "under").otherwise("moved")
+    return w.groupBy(band.alias("band"), error.alias("error")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.size(F.array_intersect("a", "b"))).alias("shared"))
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT word, count(*) AS n FROM (SELECT unnest(t) AS word FROM ({D})) GROUP BY 1), r AS (SELECT word AS part FROM w WHERE n >= 20 AND length(word) >= 3),
+s AS (SELECT word, word AS rest, []::VARCHAR[] AS parts FROM w WHERE length(word) >= 6
+UNION ALL SELECT word, rest, parts FROM (SELECT word, substr(s.rest, length(r.part) + 1) AS rest, parts || [r.part] AS parts, row_number() OVER (PARTITION BY word ORDER BY length(r.part) DESC) AS p FROM s JOIN r ON starts_with(s.rest, r.part) AND length(r.part) < length(word) WHERE s.rest <> '' AND len(parts) < 6) WHERE p = 1)
+SELECT word, array_to_string(parts, '+') AS parts FROM s WHERE rest = ''""")
+def compound_splits(spark, sf):
+    """Words that are two or more frequent words in a row."""
+    w = _words(spark, sf)
+    return G.compounds(w.select("word"), w.where("n >= 20")).select("word", F.array_join("parts", "+").alias("parts"))
+
+
+CLOSED = {"the": "DET", "of": "ADP", "and": "CCONJ", "in": "ADP", "der": "DET", "die": "DET", "und": "CCONJ", "le": "DET", "les": "DET", "de": "ADP", "et": "CCONJ", "los": "DET", "que": "SCONJ"}
+KNOWN = {"hand": "NOUN", "thing": "NOUN", "her": "PRON", "red": "ADJ", "other": "ADJ", "there": "ADV"}
+TAILS = {"tion": "NOUN", "ing": "VERB", "ed": "VERB", "er": "NOUN", "en": "VERB", "ly": "ADV"}
+_LETTERS = "regexp_extract_all(text, '[A-Za-zÀ-ɏ]+')"
+_TAG = "CASE " + " ".join([*(f"WHEN lower(x) = '{w}' THEN '{t} 95'" for w, t in CLOSED.items()), *(f"WHEN lower(x) = '{w}' THEN '{t} 90'" for w, t in KNOWN.items()), r"WHEN i > 1 AND regexp_matches(x, '^\p{Lu}') THEN 'PROPN 80'", *(f"WHEN ends_with(lower(x), '{s}') THEN '{TAILS[s]} 60'" for s in sorted(TAILS, key=len, reverse=True))]) + " ELSE 'NOUN 30' END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_LETTERS} AS l FROM documents), t AS (SELECT doc_id, list_transform(l, lambda x, i: {_TAG}) AS t FROM s)
+SELECT doc_id, len(t) AS n, sha256(array_to_string(t, ',')) AS tags_sha256, len(list_filter(t, lambda x: x = 'PROPN 80')) AS names FROM t""")
+def pos_tagger(spark, sf):
+    """Every token's tag and confidence in every document, as a digest of all of them."""
+    t = load(spark, sf, "documents").select("doc_id", G.tags(T.regexp_words(F.col("text")), CLOSED, KNOWN, TAILS).alias("t"))
+    shown = F.transform("t", lambda x: F.concat_ws(" ", x["tag"], F.round(x["confidence"] * 100).cast("int").cast("string")))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join(shown, ","), 256).alias("tags_sha256"), F.size(F.filter("t", lambda x: x["tag"] == "PROPN")).cast("long").alias("names"))
+
+
+@query()
+def subword_pieces(spark, sf):
+    """Every document's pieces as a digest, their number and the share that the vocabulary knows; tests hold it against the library."""
+    import public_tokenizers
+
+    s = G.subwords(load(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return s.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.concat_ws(",", "ids"), 256).alias("ids_sha256"), "coverage")
