@@ -3,7 +3,8 @@
 Each text is scanned for three kinds of secrets. Then nested encodings are unwrapped: percent escapes, \\u and \\x escapes,
 base64 (usual and URL alphabet), and gzip, zlib, bzip2 or xz data inside base64. Each decoded layer goes on a worklist, is
 scanned for the same kinds and searched for further encodings, until nothing new comes out. A layer is not entered again if
-the same content was met at the same place of the text before, which ends cycles; at another place it is. A match in a layer is mapped back to the span of the
+the same content was met at the same place of the text before, which ends cycles; at another place it is. Escapes inside
+escapes are a layer each down to LEVELS of them; what lies deeper is resolved to its fixpoint in one pass, which is the next layer. A match in a layer is mapped back to the span of the
 original text that it was decoded from: character by character for escapes, the whole encoded run for base64.
 
 Base matches of a text always stay; layers add spans. Positions are code points, ends exclusive.
@@ -39,6 +40,10 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\u[0-9A-Fa-f]{4})+|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ODD = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\ufffd]+")
+#: Levels of escapes in escapes that are layers of their own.
+LEVELS = 8
+_HEX_SIGNS = frozenset("0123456789abcdefABCDEF")
+_TAIL = re.compile(r"(?:\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\})$")
 _GLUE = re.compile(r"[/_-]")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,}\r?\n)+[A-Za-z0-9+/]+={0,2}")
 _flags = lambda letters: bytes(49 if b in letters else 48 for b in range(256))
@@ -62,8 +67,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class _Layer:
     """A decoded text and where each part of it came from: pieces (start here, start and end in the original)."""
 
-    def __init__(self, text: str, at: list[int], origin: list[tuple[int, int]], exact: list[bool]):
-        self.text, self.at, self.origin, self.exact = text, at, origin, exact
+    def __init__(self, text: str, at: list[int], origin: list[tuple[int, int]], exact: list[bool], level: int = 0):
+        self.text, self.at, self.origin, self.exact, self.level = text, at, origin, exact, level
 
     def back(self, start: int, end: int) -> tuple[int, int]:
         """The span of the original text that holds [start, end) of this layer."""
@@ -75,6 +80,11 @@ class _Layer:
 
 def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The layer with each match replaced by what decode() makes of it: a list of (text, start, end in the match), or None."""
+    return _replaced(layer, ((m.start(), m.end(), decode(m)) for m in pattern.finditer(layer.text)))
+
+
+def _replaced(layer: _Layer, regions) -> _Layer | None:
+    """The layer with regions (start, end, parts) replaced; parts as of decode(). None if nothing changes."""
     parts, at, origin, exact, upto, size, changed = [], [], [], [], 0, 0, False
 
     def copy(stop: int) -> None:
@@ -89,21 +99,71 @@ def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
             size += end - upto
             upto = end
 
-    for m in pattern.finditer(layer.text):
-        made = decode(m)
+    for start, end, made in regions:
         if made is None:
             continue
-        copy(m.start())
+        copy(start)
         for text, a, b in made:
             at.append(size)
-            origin.append(layer.back(m.start() + a, m.start() + b))
+            origin.append(layer.back(start + a, start + b))
             exact.append(False)
             parts.append(text)
             size += len(text)
-        upto, changed = m.end(), True
+        upto, changed = end, True
     copy(len(layer.text))
     text = "".join(parts)
-    return _Layer(text, at, origin, exact) if changed and text != layer.text else None
+    return _Layer(text, at, origin, exact, layer.level + 1) if changed and text != layer.text else None
+
+
+def _fixpoint(layer: _Layer) -> _Layer | None:
+    """The layer with all percent, \\x, \\u and \\U escapes resolved, however deep, in one pass: a sign that completes an escape is taken
+    back with it, and what it stands for may complete another. Bytes of a sequence that is no UTF-8 stay as they are written."""
+    signs: list[str | tuple] = []  # a tuple is a byte above 0x7F, how it is written, and where each of the three signs stands
+    starts: list[int] = []
+    ends: list[int] = []
+    marks: list[int] = []  # where backslashes stand in signs
+    for place, c in enumerate(layer.text):
+        start, end = place, place + 1
+        while True:
+            if c == "\\":
+                marks.append(len(signs))
+            signs.append(c)
+            starts.append(start)
+            ends.append(end)
+            if c in _HEX_SIGNS and len(signs) > 2 and signs[-3] == "%" and signs[-2] in _HEX_SIGNS:
+                n, value, byte, shown = 3, int(signs[-2] + c, 16), True, (f"%{signs[-2]}{c}", [*zip(starts[-3:], ends[-3:], strict=True)])
+            else:
+                if not marks or len(signs) - marks[-1] > 10 or not (c == "}" or c in _HEX_SIGNS):
+                    break
+                m = _TAIL.match("".join(map(str, signs[marks[-1] :])))
+                if m is None or (value := int(next(g for g in m.groups() if g), 16)) > 0x10FFFF or 0xD800 <= value < 0xE000:
+                    break
+                n, byte = len(signs) - marks[-1], False
+            start, end = starts[-n], ends[-1]
+            del signs[-n:], starts[-n:], ends[-n:]
+            while marks and marks[-1] >= len(signs):
+                marks.pop()
+            if byte and value > 0x7F:
+                signs.append((value, *shown))
+                starts.append(start)
+                ends.append(end)
+                break
+            c = chr(value)
+
+    def regions() -> Iterator[tuple[int, int, list]]:
+        k = 0
+        while k < len(signs):
+            n = 1
+            if isinstance(signs[k], tuple):
+                run = [x for x in signs[k : k + 4] if isinstance(x, tuple)]
+                n = next((n for n in range(1, len(run) + 1) if all(isinstance(x, tuple) for x in signs[k : k + n]) and _utf8(bytes(x[0] for x in signs[k : k + n]))), 0)
+                end, first = ends[k + (n or 1) - 1], starts[k]
+                yield first, end, [(bytes(x[0] for x in signs[k : k + n]).decode(), 0, end - first)] if n else [(x, a - first, b - first) for x, (a, b) in zip(signs[k][1], signs[k][2], strict=True)]
+            elif ends[k] - starts[k] > 1:
+                yield starts[k], ends[k], [(signs[k], 0, ends[k] - starts[k])]
+            k += n or 1
+
+    return _replaced(layer, regions())
 
 
 def _percent(m: re.Match):
@@ -210,9 +270,12 @@ def _runs(text: str) -> Iterator[tuple[str, int, int]]:
 
 def _next_layers(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
-    if "%" in text and (new := _rewritten(layer, _PERCENT, _percent)):
+    if layer.level >= LEVELS and ("%" in text or "\\" in text):
+        if new := _fixpoint(layer):
+            yield new
+    elif "%" in text and (new := _rewritten(layer, _PERCENT, _percent)):
         yield new
-    if "\\" in text and (new := _rewritten(layer, _ESCAPE, _escape)):
+    if layer.level < LEVELS and "\\" in text and (new := _rewritten(layer, _ESCAPE, _escape)):
         yield new
     if b"1" * 16 in text.encode("utf-8", "replace").translate(_IS_64):
         for run, start, end in _runs(text):
@@ -234,8 +297,8 @@ def _begins(run: str) -> bool:
 
 
 def _worth(text: str) -> bool:
-    """Whether a decoded text is entered: it reads as a text, or a secret stands in it."""
-    return _plain(text) or bool(base_spans(text))
+    """Whether a decoded text is entered: it reads as a text, or a secret or a run that begins like an encoded text stands in it."""
+    return _plain(text) or bool(base_spans(text)) or (b"1" * 16 in text.encode("utf-8", "replace").translate(_IS_64) and any(_begins(run) for run, _, _ in _runs(text)))
 
 
 def _mark(layer: _Layer) -> bytes:
