@@ -79,16 +79,24 @@ def evidence_context(spark, sf):
     return pack.select("l_orderkey", "n").join(S.context_blocks(pack, "l_orderkey"), "l_orderkey")
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(range(0, (len(t) - 1) // 400 + 1)) AS i, t FROM (SELECT doc_id, lang || ': ' || text AS t FROM documents)), x AS (SELECT doc_id, i, substring(t, i * 400 + 1, 400) AS chunk FROM c), v AS (SELECT *, left(sha256('m:' || doc_id || ':' || i || ':' || chunk), 32) AS vector_id FROM x)
-SELECT vector_id, doc_id, i::INTEGER AS at, len(chunk)::DOUBLE AS first FROM v WHERE doc_id % 4 <> 0""")
+_DIMS = ", ".join(f"round(len(list_filter(w, lambda x: (ascii(x) * 31 + len(x)) % 8 = {j})) / greatest(len(w), 1), 4) AS e{j}" for j in range(8))
+
+
+def _hashed_words(c):
+    """Shares of a chunk's words by hash: a stated embedding without a model."""
+    return F.expr("transform(sequence(0, 7), j -> size(filter(w, x -> (ascii(x) * 31 + length(x)) % 8 = j)) / greatest(size(w), 1))".replace("w,", "regexp_extract_all(lower(chunk), '[a-z]+', 0),").replace("size(w)", "size(regexp_extract_all(lower(chunk), '[a-z]+', 0))"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, unnest(range(0, (len(t) - 1) // 400 + 1)) AS i, t FROM (SELECT doc_id, lang || ': ' || text AS t FROM documents)), x AS (SELECT doc_id, i, substring(t, i * 400 + 1, 400) AS chunk FROM c), v AS (SELECT *, left(sha256('m:' || doc_id || ':' || i || ':' || chunk), 32) AS vector_id FROM x)
+SELECT vector_id, doc_id, i::INTEGER AS at, {_DIMS} FROM (SELECT *, regexp_extract_all(lower(chunk), '[a-z]+') AS w FROM v) WHERE doc_id % 4 <> 0""")
 def vector_build(spark, sf):
-    """Template, chunks, ids; what is stored already is left out. The embedding here is the length: the model is a parameter."""
+    """Template, chunks, ids, embeddings of chunks; what is stored already is left out. The embedding is a parameter."""
     d = load(spark, sf, "documents")
     chunk = F.expr("transform(sequence(0, cast((length(__text) - 1) div 400 as int)), i -> substring(__text, i * 400 + 1, 400))")
-    build = lambda rows, stored: S.vector_rows(rows, stored, F.concat("lang", F.lit(": "), "text"), chunk, "m", lambda c: F.array(F.length(c).cast("double")))
+    build = lambda rows, stored: S.vector_rows(rows, stored, F.concat("lang", F.lit(": "), "text"), chunk, "m", _hashed_words)
     none = spark.createDataFrame([], "vector_id string")
     have = build(d.where("doc_id % 4 = 0"), none).select("vector_id")
-    return build(d, have).select("vector_id", "doc_id", "at", F.col("embedding")[0].alias("first"))
+    return build(d, have).select("vector_id", "doc_id", "at", *[F.round(F.col("embedding")[j], 4).alias(f"e{j}") for j in range(8)])
 
 
 @query("""SELECT DISTINCT 'nation' AS type, n_name AS label, '' AS source, n_nationkey::VARCHAR AS source_id, CASE WHEN n_nationkey % 2 = 0 THEN 2 WHEN n_nationkey % 3 = 0 THEN 1 ELSE 1 END AS version FROM nation""")

@@ -175,11 +175,15 @@ def content_gate(spark, sf):
     return j.select("source", F.coalesce("now", F.lit(0)).alias("now"), F.coalesce("base", F.lit(0)).alias("base")).withColumn("regressed", F.col("now") > F.col("base"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'unknown' WHEN p_size % 3 = 1 THEN 'NOUN' ELSE 'candidates' END AS tag FROM part")
+_SAID = {"standard": "ADJ", "small": "ADJ", "medium": "ADJ", "large": "ADJ", "economy": "NOUN", "promo": "ADJ", "anodized": "ADJ", "burnished": "ADJ", "plated": "VERB", "polished": "VERB", "brushed": "ADJ", "tin": "NOUN", "nickel": "ADJ", "brass": "ADJ", "steel": "ADJ"}
+_SAID_SQL = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SAID.items()) + " ELSE '?' END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, list_distinct(list_transform(list_filter(regexp_split_to_array(lower(p_type), '[/,;.\\s]+'), lambda x: x <> ''), lambda x: {_SAID_SQL})) AS t FROM part)
+SELECT p_partkey, CASE WHEN len(t) = 0 OR list_contains(t, '?') THEN 'unknown' WHEN len(t) = 1 THEN t[1] ELSE 'candidates' END AS tag FROM t""")
 def pos_normalise(spark, sf):
-    """Tags as written, split and looked up: an unknown part makes all unknown, one tag stands, several are candidates."""
-    raw = F.when(F.col("p_size") % 3 == 0, "Noun/xyz").when(F.col("p_size") % 3 == 1, "n., NOUN").otherwise("N;verb")
-    return load(spark, sf, "part").select("p_partkey", O.normal_tag(raw, {"n": "NOUN", "noun": "NOUN", "v": "VERB", "verb": "VERB"}).alias("tag"))
+    """The words of each part's type as tags: an unknown word makes all unknown, one tag stands, several are candidates."""
+    return load(spark, sf, "part").select("p_partkey", O.normal_tag(F.col("p_type"), _SAID).alias("tag"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'AUX' WHEN 2 THEN 'X' ELSE 'ADP' END AS tag FROM part")
@@ -207,10 +211,12 @@ def dictionary_translate(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.array_join(F.transform(T.tokens(F.col("text")), lambda x: F.coalesce(F.try_element_at(table, x), x)), " ").alias("translated"))
 
 
-@query("SELECT doc_id, doc_id % 4 AS kind, abs(doc_id % 4 - 1.5)::DOUBLE AS gap, CASE WHEN doc_id % 4 = 3 THEN 'green' WHEN doc_id % 4 = 2 THEN 'amber' ELSE 'red' END AS band FROM documents")
+@query("""WITH s AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY 1) SELECT doc_id, langs AS kind, n AS related, CASE WHEN langs >= 4 THEN 'green' WHEN langs >= 3 THEN 'amber' ELSE 'red' END AS band FROM documents JOIN s ON s.source IS NOT DISTINCT FROM documents.source""")
 def relationship_bands(spark, sf):
-    k = F.col("doc_id") % 4
-    return load(spark, sf, "documents").select("doc_id", k.alias("kind"), F.abs(k - 1.5).cast("double").alias("gap"), O.band(k, 3, 2).alias("band"))
+    """Each document by how many languages its source holds, and how many documents."""
+    d = load(spark, sf, "documents").select("doc_id", F.col("source").alias("own"), "lang")
+    s = d.groupBy(F.col("own").alias("source")).agg(F.count(F.lit(1)).alias("related"), F.count_distinct("lang").alias("kind"))
+    return d.join(s, F.col("own").eqNullSafe(F.col("source"))).select("doc_id", "kind", "related", O.band(F.col("kind"), 4, 3).alias("band"))
 
 
 @query()
