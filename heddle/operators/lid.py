@@ -115,10 +115,9 @@ def identified(features: DataFrame, model: Identifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            s, row, _, _ = _scores(m.weights, b.column(len(others)), b.column(len(others) + 1))
-            if not b.num_rows or not m.labels:
-                best, p = [None] * b.num_rows, [None] * b.num_rows
-            else:
+            best = p = [None] * b.num_rows
+            if b.num_rows and m.labels:
+                s, row, _, _ = _scores(m.weights, b.column(len(others)), b.column(len(others) + 1))
                 there = np.bincount(row, minlength=b.num_rows) > 0
                 e = np.exp(s - s.max(1, keepdims=True))
                 best = [m.labels[k] if t else None for k, t in zip(s.argmax(1), there, strict=True)]
