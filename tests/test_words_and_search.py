@@ -40,9 +40,9 @@ def test_roots_and_analysis(spark):
 
 @pytest.fixture(scope="module")
 def books(spark):
-    d = spark.createDataFrame([(1, "zomi", "a people"), (2, "bang", "the zomi community gathers"), (3, "sawhding", "hello"), (4, "zomite", "x"), (5, "azomi", "y")], "id long, zolai string, english string")
+    d = spark.createDataFrame([(1, "zomi", "a people"), (2, "bang", "the zomi community gathers"), (3, "sawhding", "hello"), (4, "zomite", "x"), (5, "azomi", "y")], "id long, word string, english string")
     e = spark.createDataFrame([(1, "love", "a great affection")], "id long, head string, said string")
-    return {"dictionary": (d, "id", "zolai", "english"), "en": (e, "id", "head", "said")}
+    return {"dictionary": (d, "id", "word", "english"), "en": (e, "id", "head", "said")}
 
 
 def ranked(df):
