@@ -9,9 +9,11 @@ original text that it was decoded from: character by character for escapes, the
 
 Base matches of a text always stay; layers add spans. Positions are code points, ends exclusive.
 
-Edge cases: null and empty texts have no spans. Whole texts are scanned, one at a time, whatever their length. Compressed
-layers are read whole, all members of them, so a decompression bomb takes the memory of its content. Rows are independent: ties, repeated
-rows, empty tables and other columns have no effect.
+Edge cases: null and empty texts have no spans. Whole texts are scanned, one at a time, whatever their length. All members of
+compressed layers are read, and what stands behind them. Content above WINDOW bytes is read in windows that overlap by OVERLAP bytes
+and is never held whole, so a decompression bomb takes time in proportion to its content, but no memory; encoded runs inside such
+content that are longer than OVERLAP are read in parts. Rows are independent: ties, repeated rows, empty tables and other columns
+have no effect.
 """
 
 from __future__ import annotations
@@ -42,6 +44,14 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ODD = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\ufffd]+")
 #: Levels of escapes in escapes that are layers of their own.
 LEVELS = 8
+#: Bytes of compressed content that are one text; longer content is read in windows of this size, which overlap.
+WINDOW = 4 << 20
+OVERLAP = 1 << 20
+#: Bytes that a decompressor gives at once, and the most that an xz dictionary may take.
+CHUNK = 1 << 18
+DICTIONARY = 128 << 20
+#: Layers of compression, each longer than a window, that are read through one another at once.
+STREAMS = 64
 _HEX_SIGNS = frozenset("0123456789abcdefABCDEF")
 _TAIL = re.compile(r"(?:\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\})$")
 _GLUE = re.compile(r"[/_-]")
@@ -200,53 +210,127 @@ def _escape(m: re.Match):
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(s))]
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """What compressed data hold, by their first bytes; None if they are none."""
-    parts = []
-    while (made := _member(raw)) is not None:
-        parts.append(made[0])
-        raw = made[1].lstrip(b"\0")  # members may be padded
-    return b"".join(parts) if parts else None
-
-
-def _member(raw: bytes) -> tuple[bytes, bytes] | None:
-    """The content of the first compressed member and the bytes behind it."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            d = zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
+def _opened(head: bytes):
+    """A decompressor for data that begin so; None if they are not compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=DICTIONARY)
+    return None
+
+
+def _drained(d, data: bytes, source: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of one member in pieces of at most CHUNK; data and then source feed it."""
+    while not d.eof:
+        out = d.decompress(data, CHUNK)
+        if out:
+            yield out
+        if isinstance(d, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+            data, hungry = b"", d.needs_input
         else:
-            return None
-        return d.decompress(raw), d.unused_data
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-
-
-def _texts(raw: bytes) -> list[str]:
-    """What bytes say: as UTF-16 where a mark or the zero bytes show it, and as UTF-8; parts that are no text become signs of their own."""
-    some, found = raw[:512], []
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or (len(some) > 7 and 3 * max(some[::2].count(0), some[1::2].count(0)) > len(some)):
-        big = raw[:2] == b"\xfe\xff" or (raw[:2] != b"\xff\xfe" and some[::2].count(0) > some[1::2].count(0))
+            data = d.unconsumed_tail
+            hungry = not data and len(out) < CHUNK
+        if hungry and not d.eof:
+            data = next(source, None)
+            if data is None:  # cut short: what came before counts
+                return
+
+
+def _inflated(source: Iterator[bytes], broken: list) -> Iterator[bytes]:
+    """What all compressed members of a stream hold, in pieces, and what stands behind them; broken gets an entry if they end in an error."""
+    data, first = b"", True
+    while True:
+        while len(data) < 6 and (more := next(source, None)) is not None:
+            data = (data + more).lstrip(b"\0") if not first else data + more  # members may be padded
+        if (d := _opened(data)) is None:
+            if data and not first:
+                yield b"\n"
+                yield data
+                yield from source
+            return
+        try:
+            yield from _drained(d, data, source)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            broken.append(True)
+            return
+        data, first = d.unused_data.lstrip(b"\0"), False
+
+
+def _windows(source: Iterator[bytes]) -> Iterator[bytes]:
+    """A stream in windows of WINDOW bytes, each beginning with the last OVERLAP bytes of the one before."""
+    held = b""
+    for part in source:
+        held += part
+        while len(held) > WINDOW:
+            yield held[:WINDOW]
+            held = held[WINDOW - OVERLAP :]
+    if held:
+        yield held
+
+
+def _texts(raw: bytes, head: bytes | None = None) -> list[str]:
+    """What bytes say: as UTF-16 where a mark or the zero bytes of the head show it, and as UTF-8; parts that are no text become signs of their own."""
+    some, found = (raw if head is None else head)[:512], []
+    if some[:2] in (b"\xff\xfe", b"\xfe\xff") or (len(some) > 7 and 3 * max(some[::2].count(0), some[1::2].count(0)) > len(some)):
+        big = some[:2] == b"\xfe\xff" or (some[:2] != b"\xff\xfe" and some[::2].count(0) > some[1::2].count(0))
         found.append(raw.decode("utf-16-be" if big else "utf-16-le", "replace"))
     return [*found, raw.decode("utf-8", "replace")]
 
 
-def _unpacked(run: str) -> list[str]:
-    """The texts inside a base64 run, through any layers of compression."""
+def _unpacked(run: str) -> Iterator[str]:
+    """The texts inside a base64 run, through any layers of compression.
+
+    Content of at most WINDOW bytes is one text. Longer content is never held whole: it is read again from its last short
+    layer, once for a digest that ends cycles and once in overlapping windows, each a text of its own.
+    """
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         body = body[:-1]  # a letter too many: what stands before it is read
     raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    seen = set()
-    while (more := _inflated(raw)) is not None and (mark := hashlib.blake2b(more).digest()) not in seen:
-        seen.add(mark)
-        raw = more
-    return _texts(raw)
+    if _opened(raw) is None:
+        yield from _texts(raw)
+        return
+    seen, met = set(), set()
+    short, layers = raw, 0  # the stream: short data, unpacked this many times
+
+    def stream(times: int, broken: list) -> Iterator[bytes]:
+        made = iter([short])
+        for _ in range(times):
+            made = _inflated(made, broken)
+        return made
+
+    def texts(times: int) -> Iterator[str]:
+        head = None
+        for window in _windows(stream(times, [])):
+            head = window[:512] if head is None else head
+            mark = hashlib.blake2b(window).digest()
+            if mark not in met:
+                met.add(mark)
+                yield from _texts(window, head)
+
+    while True:
+        digest, size, kept, broken = hashlib.blake2b(), 0, [], []
+        for part in stream(layers + 1, broken):
+            digest.update(part)
+            size += len(part)
+            if size <= WINDOW:
+                kept.append(part)
+            elif kept:
+                kept = kept[:1]
+        if broken or size == 0:  # perhaps not compressed at all: its own bytes are read too
+            yield from texts(layers)
+        if size == 0 or digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        head = b"".join(kept)
+        short, layers = (head, 0) if size <= WINDOW else (short, layers + 1)
+        if _opened(head) is None or layers > STREAMS:
+            yield from texts(layers)
+            return
 
 
 def _runs(text: str) -> Iterator[tuple[str, int, int]]:
@@ -310,15 +394,19 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """(base spans, all spans) of a text, each as sorted (start, end, kind number)."""
     base = base_spans(text)
     every = set(base)
-    work = [_Layer(text, [0], [(0, len(text))], [True])]
-    seen = {_mark(work[0])}
-    while work:
-        for new in _next_layers(work.pop()):
-            if not new.text or (mark := _mark(new)) in seen:
-                continue
-            seen.add(mark)
-            every.update((*new.back(a, b), k) for a, b, k in base_spans(new.text))
-            work.append(new)
+    work = _Layer(text, [0], [(0, len(text))], [True])
+    seen = {_mark(work)}
+    open_layers = [_next_layers(work)]  # depth first: a layer is let go before the next one beside it is made
+    while open_layers:
+        new = next(open_layers[-1], None)
+        if new is None:
+            open_layers.pop()
+            continue
+        if not new.text or (mark := _mark(new)) in seen:
+            continue
+        seen.add(mark)
+        every.update((*new.back(a, b), k) for a, b, k in base_spans(new.text))
+        open_layers.append(_next_layers(new))
     return base, sorted(every, key=lambda s: (s[0], s[2], s[1]))
 
 
