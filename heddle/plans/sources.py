@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from heddle.plans.folders import checkpoints
 from heddle.plans.registry import query
+from heddle.sources import marked as M
 from heddle.sources import readers as R
 from heddle.sources import writers as W
 from heddle.tables import NAMES, load
@@ -80,6 +81,49 @@ def xml_verses(spark, sf):
     return R.xml_rows(spark, at, "verse", F.col("_ref"), F.col("_VALUE"))
 
 
+_VERSES = "SELECT 'B' || strftime(o_orderdate, '%Y%m') AS book, l_orderkey::INTEGER AS chapter, l_linenumber::INTEGER AS verse, max(l_returnflag || ' & ' || l_shipdate::DATE) AS text FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3"
+
+
+def _verses(spark, sf):
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("B"), F.date_format("o_orderdate", "yyyyMM")).alias("book"))
+    text = F.concat("l_returnflag", F.lit(" & "), F.to_date("l_shipdate").cast("string"))
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text")).join(o, "l_orderkey").groupBy("book", F.col("l_orderkey").cast("int").alias("chapter"), F.col("l_linenumber").cast("int").alias("verse")).agg(F.max("text").alias("text"))
+
+
+def _marked(spark, sf, at: str, verse, chapter, book) -> None:
+    """Lines of a marked text in order: each book's first line, each chapter's, then its verses, as three expressions over (book, chapter, verse, text) say."""
+    v = _verses(spark, sf).withColumn("text", F.replace("text", F.lit("&"), F.lit("&amp;")))
+    none = F.lit(-1).alias
+    heads = v.select("book").distinct().select("book", none("chapter"), none("verse"), book.alias("value"))
+    starts = v.select("book", "chapter").distinct().select("book", "chapter", none("verse"), chapter.alias("value"))
+    lines = v.select("book", "chapter", "verse", verse.alias("value")).unionByName(heads).unionByName(starts)
+    lines.repartition("book").sortWithinPartitions("book", "chapter", "verse").select("value").write.text(at)
+
+
+@query(_VERSES)
+def xml_milestones(spark, sf):
+    """Verses behind empty tags; book and chapter are what the last such tag said, wherever the file is split."""
+    at = place(spark, "usx")
+    _marked(spark, sf, at, F.format_string('<verse number="%d" style="v"/>%s', "verse", "text"), F.format_string('<!-- <verse number="9"/> of no chapter --><chapter number="%d"/>', "chapter"), F.format_string('<book code="%s"/>', "book"))
+    return M.milestone_verses(spark, at)
+
+
+@query(_VERSES.replace("'B' || strftime(o_orderdate, '%Y%m')", "strftime(o_orderdate, '%Y')[2:]").replace("GROUP BY 1, 2, 3", "GROUP BY ALL"))
+def xml_nested(spark, sf):
+    """Verses as elements with other tags in them; a book is known by the first three signs of its name, here the end of the year."""
+    at = place(spark, "nested-xml")
+    first, rest = F.split("text", " ")[0], F.expr("substring(text, instr(text, ' '))")
+    _marked(spark, sf, at, F.format_string('<verse number="%d">%s<note/><i>%s</i></verse> margin', "verse", first, rest), F.format_string('</chapter><chapter number="%d">', "chapter"), F.format_string("</book><book name='%sb of %s'>", F.substring("book", 3, 3), "book"))
+    return M.nested_verses(spark, at)
+
+
+@query(_VERSES)
+def xml_segments(spark, sf):
+    at = place(spark, "ces")
+    _marked(spark, sf, at, F.format_string('<seg id="b.%s.%d.%d" type="verse">%s</seg>', "book", "chapter", "verse", "text"), F.lit("</div><div type='chapter'>"), F.lit("</div></div><div type='book'><div>"))
+    return M.segment_verses(spark, at)
+
+
 @query("SELECT l_returnflag AS book, l_orderkey::VARCHAR AS chapter, l_linenumber::VARCHAR AS verse, max(l_shipdate)::DATE::VARCHAR AS text FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2, 3".replace(" WHERE l_orderkey % 50 = 0", ""))
 def nested_json_verses(spark, sf):
     """Book, chapter, verse and text as nested objects, one file a book and chapter range."""
