@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from heddle.operators.rows import first_per_key
 
 
-def tag_counts(words: DataFrame, closed: dict[str, str], suffixes: dict[str, str], default: str = "NOUN") -> DataFrame:
-    """(word, tag, n): a rule tagger over (word): closed classes, then the longest suffix, else the default."""
+def rule_tags(counts: DataFrame, closed: dict[str, str], suffixes: dict[str, str], default: str = "NOUN") -> DataFrame:
+    """(word, tag, n): a rule tagger over (word, n): closed classes, then the longest suffix, else the default."""
     table = F.create_map(*[F.lit(x) for kv in closed.items() for x in kv])
     tail = F.coalesce(*[F.when(F.col("word").endswith(s), F.lit(t)) for s, t in sorted(suffixes.items(), key=lambda x: (-len(x[0]), x[0]))], F.lit(default))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", F.coalesce(F.try_element_at(table, F.col("word")), tail).alias("tag"), "n")
+    return counts.select("word", F.coalesce(F.try_element_at(table, F.col("word")), tail).alias("tag"), "n")
+
+
+def tag_counts(words: DataFrame, closed: dict[str, str], suffixes: dict[str, str], default: str = "NOUN") -> DataFrame:
+    """(word, tag, n): the rule tagger over the words of a table (word)."""
+    return rule_tags(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), closed, suffixes, default)
 
 
 def pos_hypotheses(tagged: DataFrame, dictionary: DataFrame, weight: int = 10) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from heddle.operators import corpus as C
 from heddle.operators import discovery as V
+from heddle.operators import discovery_run as R
 from heddle.operators import hierarchy as H
+from heddle.plans.folders import checkpoints
 from heddle.plans.fragments import D, sql_list
 from heddle.plans.hierarchy import _F, _S, docs
 from heddle.plans.registry import query
+from heddle.sources.versions import Versions
 from heddle.tables import load
 
 _CLOSED = {"the": "DET", "of": "ADP", "in": "ADP", "and": "CCONJ", "la": "DET", "der": "DET"}
@@ -115,3 +120,54 @@ def pattern_mining(spark, sf):
     d = C.tokenized(load(spark, sf, "documents")).where(F.size("tokens") > 0)
     one = lambda name, at: d.select(F.element_at("tokens", at).alias("w")).where(F.col("w").isin(*_CLOSED)).groupBy(F.concat(F.lit(f"{name} with "), "w").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
     return one("starts", 1).unionByName(one("ends", -1))
+
+
+_RULES = R.Rules(_CLOSED, _SUFFIX, tuple(_DICT), (tuple(_PRE), tuple(_SUF)), _MARKERS)
+
+
+def _hypotheses_sql(where: str = "true") -> str:
+    return f"""WITH {_F.replace("FROM documents", f"FROM (SELECT * FROM documents WHERE {where})")}, u AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM s) GROUP BY 1), g AS (SELECT w AS word, {_TAG} AS tag, n FROM u),
+votes AS (SELECT word, tag, sum(n)::BIGINT AS n FROM (SELECT * FROM g UNION ALL SELECT word, tag, 10 FROM {_DICT_SQL} WHERE word IN (SELECT word FROM g)) GROUP BY 1, 2),
+cut AS ({" UNION ALL ".join([_cut_sql(a, True) for a in _PRE] + [_cut_sql(a, False) for a in _SUF])}),
+pair AS (SELECT x, y, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i])) AS x, unnest(list_transform(range(1, len(t)), lambda i: t[i + 1])) AS y FROM s) GROUP BY 1, 2),
+pmi AS (SELECT least(x, y) AS a, greatest(x, y) AS b, sum(pair.n)::BIGINT AS n, max(log2(pair.n * (SELECT sum(n) FROM u) / (i.n * j.n))) AS pmi FROM pair JOIN u i ON i.w = x JOIN u j ON j.w = y GROUP BY 1, 2),
+pattern AS (SELECT clause, structure || '/' || CASE WHEN n_tokens < 5 THEN 'short' WHEN n_tokens < 12 THEN 'middle' ELSE 'long' END || '/' || CASE WHEN prefixed THEN 'prefixed' ELSE 'plain' END AS pattern, count(*) AS n FROM f GROUP BY 1, 2),
+mark AS (SELECT kind, marker, count(*) AS n FROM s, {_MARKERS_SQL} WHERE list_contains(t, marker) GROUP BY 1, 2),
+h AS (SELECT 'pos' AS kind, 'word:' || word AS subject, 'pos:' || tag AS predicate, NULL::VARCHAR AS object, n, round(n / every, 4) AS confidence FROM (SELECT *, sum(n) OVER (PARTITION BY word) AS every, row_number() OVER (PARTITION BY word ORDER BY n DESC, tag) AS r FROM votes) WHERE r = 1
+UNION ALL SELECT 'morph_relation', 'word:' || word, 'morph:' || relation || ':' || part, 'root:' || root, n, round(least(1.0, n / 10), 4) FROM cut JOIN g USING (word) WHERE len(root) >= 3 AND root IN (SELECT word FROM g)
+UNION ALL SELECT 'collocation', 'word:' || a, 'collocates', 'word:' || b, n, round(least(1.0, pmi / 10), 4) FROM pmi WHERE n >= 5 AND round(pmi, 4) >= 1.0
+UNION ALL SELECT 'sentence_pattern', clause, 'pattern', pattern, n, round(n / every, 4) FROM (SELECT *, sum(n) OVER (PARTITION BY clause) AS every, row_number() OVER (PARTITION BY clause ORDER BY n DESC, pattern) AS r FROM pattern) WHERE r <= 50
+UNION ALL SELECT 'grammar', kind, 'marker', marker, n, round(least(1.0, n / 10), 4) FROM mark WHERE n >= 3)
+SELECT sha1(concat_ws('|', kind, subject, predicate, coalesce(object, ''))) AS id, kind, subject, predicate, object, n, confidence::DOUBLE AS confidence FROM h"""
+
+
+def _store(spark) -> Versions:
+    return Versions(spark, f"{checkpoints(spark)}/discovery-{uuid.uuid4().hex}")
+
+
+@query(_hypotheses_sql())
+def discovery_build(spark, sf):
+    """The hypotheses of all five capabilities, from one scan, as stored."""
+    store = _store(spark)
+    R.run(store, docs(spark, sf), _RULES)
+    return store.read("hypotheses")
+
+
+@query(f"""WITH a AS ({_hypotheses_sql("lang = 'en'")}), b AS ({_hypotheses_sql()}) SELECT * FROM b UNION ALL SELECT * FROM a WHERE id NOT IN (SELECT id FROM b)""")
+def discovery_rerun(spark, sf):
+    """A corpus that grows: a run over the English texts, then one over all; what only the first found stays."""
+    store = _store(spark)
+    R.run(store, load(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text"), _RULES)
+    R.run(store, docs(spark, sf), _RULES)
+    return store.read("hypotheses")
+
+
+@query(f"""SELECT id, CASE kind WHEN 'morph_relation' THEN 'morphology' ELSE 'lexicon' END AS type, subject, predicate, object FROM ({_hypotheses_sql()}) WHERE kind IN ('pos', 'morph_relation', 'collocation')""")
+def claim_expression(spark, sf):
+    """All hypotheses as claims; every second one names its predicate and root in its extras alone."""
+    store = _store(spark)
+    R.run(store, docs(spark, sf), _RULES)
+    odd = (F.col("n") % 2 == 1) & (F.col("kind") != "collocation")
+    h = store.read("hypotheses").withColumn("extras", F.when(F.col("kind") == "pos", F.create_map(F.lit("upos"), F.expr("substring(predicate, 5)"))).when(F.col("kind") == "morph_relation", F.create_map(F.lit("type"), F.expr("substring(predicate, 7)"), F.lit("root"), F.expr("substring(object, 6)"))))
+    h = h.select("id", "kind", F.concat(F.lit("word:"), "subject").alias("subject"), F.when(~odd, F.col("predicate")).alias("predicate"), F.when(~odd, F.col("object")).alias("object"), "extras")
+    return R.claims(h)

@@ -182,9 +182,3 @@ def discussion_similarity(spark, sf):
     k = t.agg(F.count_distinct("lang").alias("k"))
     j = t.select(F.col("source").alias("a"), "lang").join(t.select(F.col("source").alias("b"), "lang"), "lang").where("a < b")
     return j.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(k)).select("a", "b", F.round(F.col("n") / F.col("k"), 4).alias("similarity"))
-
-
-@query("""SELECT p_partkey, 'type' AS type, p_name AS subject, CASE WHEN p_size > 25 THEN 'is large' ELSE 'is small' END AS predicate, p_brand AS object FROM part""")
-def claim_expression(spark, sf):
-    p = load(spark, sf, "part")
-    return p.select("p_partkey", F.lit("type").alias("type"), F.col("p_name").alias("subject"), F.when(F.col("p_size") > 25, "is large").otherwise("is small").alias("predicate"), F.col("p_brand").alias("object"))
