@@ -9,7 +9,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -147,3 +147,27 @@ def record_kind(keys: Column) -> Column:
 def error_score(errors: Column, warnings: Column) -> Column:
     """1 less .2 an error and .05 a warning, 0 at least."""
     return F.greatest(F.lit(0.0), 1 - 0.2 * errors - 0.05 * warnings)
+
+
+def context(c: Column, scripture: list[str], historical: list[str]) -> Column:
+    """scripture where a pattern of references is met, else historical where a pattern of old phrases is, else modern; without case, null is modern."""
+    met = lambda patterns: F.coalesce(F.lower(c).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)) if patterns else F.lit(False)
+    return F.when(met(scripture), "scripture").when(met(historical), "historical").otherwise("modern")
+
+
+#: Marks of headings and list items at the beginning of lines.
+LINE_MARKS = r"(?m)^#{1,6}\s+|^\s*[-*•]\s+"
+#: Signs that a wrong reading of UTF-8 leaves.
+MISREAD = "[â€™Ã\\x{80}-\\x{9f}]"
+
+
+def bilingual(df: DataFrame, own: str, other: str, forbidden: str, labels: dict[str, list[str]] | None = None) -> DataFrame:
+    """df with both sides of pairs cleaned; rows with an empty side, or a forbidden pattern in the own one, are left out.
+
+    Own side: composed letters, no marks of headings and list items, no misread signs. Other side: no links, mail addresses and
+    phone numbers, no marks; listed names become labels. White space is collapsed on both.
+    """
+    clean = T.collapse(F.regexp_replace(F.regexp_replace(nfc(F.col(own)), LINE_MARKS, ""), MISREAD, ""))
+    there = T.without_contacts(F.regexp_replace(F.col(other), LINE_MARKS, ""))
+    out = df.withColumns({own: clean, other: masked(there, labels) if labels else there})
+    return out.where((F.col(own) != "") & (F.col(other) != "") & ~F.lower(own).rlike(forbidden))

@@ -116,3 +116,11 @@ def column_audit(df: DataFrame, columns: list[str], checks: dict[str, str]) -> D
 def verdict(failed: Column) -> Column:
     """Three or more failed checks are critical, one or two a warning."""
     return F.when(failed >= 3, "critical").when(failed >= 1, "warning").otherwise("ok")
+
+
+def reconciled(log: DataFrame, live: DataFrame) -> DataFrame:
+    """(table_name, claimed, live, difference, outcome): what completed imports (table_name, rows_imported, status) claim against the rows that are there (table_name, rows): ok, mismatch, or no table."""
+    claimed = log.where("status = 'completed' and table_name is not null").groupBy("table_name").agg(F.sum("rows_imported").alias("claimed"))
+    j = claimed.join(live.select("table_name", F.col("rows").alias("live")), "table_name", "left")
+    outcome = F.when(F.col("live").isNull(), "no table").when(F.col("live") == F.col("claimed"), "ok").otherwise("mismatch")
+    return j.select("table_name", "claimed", "live", (F.col("live") - F.coalesce("claimed", F.lit(0))).alias("difference"), outcome.alias("outcome"))

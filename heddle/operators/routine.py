@@ -41,6 +41,16 @@ def band(value: Column, green: float, amber: float, larger_is_better: bool = Tru
     return F.when(reaches(green), "green").when(reaches(amber), "amber").otherwise("red")
 
 
+def threshold_status(value: Column, direction: Column, green: Column, amber: Column) -> Column:
+    """green, amber or red of a measured value: "lower" (also where no direction is given): the smaller the better, "higher": the larger.
+
+    "info" is only reported; a null value is absent; without an amber limit nothing is red; without a green one nothing is green.
+    """
+    higher = F.coalesce(F.nullif(direction, F.lit("")), F.lit("lower")) == "higher"
+    reaches = lambda limit: F.coalesce(F.when(higher, value >= limit).otherwise(value <= limit), F.lit(False))
+    return F.when(direction == "info", "info").when(value.isNull(), "absent").when(reaches(green), "green").when(amber.isNull() | reaches(amber), "amber").otherwise("red")
+
+
 def normal_tag(raw: Column, table: dict[str, str]) -> Column:
     """A tag as written in a dictionary: split at separators, looked up without case. An unknown part makes it `unknown`; one tag stands; several are `candidates`."""
     known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])

@@ -217,3 +217,39 @@ def triples(docs: DataFrame, verbs: list[str]) -> DataFrame:
     at = F.filter(F.sequence(F.lit(2), F.size("tokens") - 1), lambda i: F.array_contains(known, F.element_at("tokens", i)))
     e = docs.where(F.size("tokens") >= 3).select("doc_id", "tokens", F.explode(at).alias("i"))
     return e.select("doc_id", *[F.element_at("tokens", F.col("i") + d).alias(n) for d, n in ((-1, "subject"), (0, "predicate"), (1, "object"))]).distinct()
+
+
+def key_terms(messages: DataFrame, stop: list[str], k: int = 20, id_col: str = "conv_id", text: str = "text") -> DataFrame:
+    """(id, term, n): the k most frequent words of four letters a-z or more of each discussion, ties by word."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{4,}$"))
+    n = messages.select(F.col(id_col).alias("id"), F.explode(words).alias("term")).where(~F.col("term").isin(*stop)).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return first_per_key(n, ["id"], [F.desc("n"), F.asc("term")], k)
+
+
+def like_discussion(messages: DataFrame, asked: int, stop: list[str], k: int = 20, id_col: str = "conv_id", who: str = "role") -> DataFrame:
+    """(id, topic_similarity, participant_overlap, shared): every other discussion against the asked one: Jaccard of key terms and of participants, and the common terms in order."""
+    terms = key_terms(messages, stop, k, id_col)
+    gather = lambda df, c: df.groupBy("id").agg(F.collect_set(c).alias(c))
+    # a row a discussion: at most k terms and its participants
+    people = gather(messages.select(F.col(id_col).alias("id"), who), who)
+    every = people.join(gather(terms, "term"), "id", "left").withColumn("term", F.coalesce("term", F.array().cast("array<string>")))
+    one = every.where(F.col("id") == asked).select(F.col("term").alias("t"), F.col(who).alias("p"))
+    share = lambda a, b: F.coalesce(F.round(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), 4), F.lit(0.0))
+    j = every.where(F.col("id") != asked).join(F.broadcast(one))  # one row
+    return j.select("id", share("term", "t").alias("topic_similarity"), share(who, "p").alias("participant_overlap"), F.array_join(F.array_sort(F.array_intersect("term", "t")), " ").alias("shared"))
+
+
+def cross_lingual(books: dict[str, DataFrame], query: str, source_lang: str, limit: int = 10) -> DataFrame:
+    """(id, source_term, target_term, relevance) from the dictionary (id, headword, meaning) of the source language: headwords that hold the query, best relevance first, then id."""
+    if source_lang not in books:
+        raise ValueError(f"no dictionary for {source_lang}")
+    hit = books[source_lang].where(F.lower("headword").contains(query.lower()))
+    scored = hit.select("id", F.col("headword").alias("source_term"), F.col("meaning").alias("target_term"), T.relevance(query, F.col("headword")).alias("relevance"))
+    return scored.orderBy(F.desc("relevance"), "id").limit(limit)
+
+
+def topical(df: DataFrame, theme: str, id_col: str, columns: list[str], limit: int = 10) -> DataFrame:
+    """(id, relevance): rows of which a text column holds a word of the theme, by the theme's relevance to the columns read as one text, then id. An empty theme takes every row."""
+    low = [F.coalesce(F.lower(c), F.lit("")) for c in columns]
+    hit = reduce(or_, [c.contains(w) for w in theme.lower().split() for c in low]) if theme.split() else F.lit(True)
+    return df.where(hit).select(F.col(id_col).alias("id"), T.relevance(theme, F.concat_ws(" ", *columns)).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(limit)

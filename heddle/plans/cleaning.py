@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from heddle.functions import cleaning as K
 from heddle.functions import text as T
-from heddle.plans.fragments import DE, EN, FR, TOKENS
+from heddle.plans.fragments import EN, FR, TOKENS
 from heddle.plans.registry import query
 from heddle.tables import load
 
@@ -206,8 +206,27 @@ def bloom_membership(spark, sf):
     return left.join(member, "o_orderkey", "left_semi")
 
 
-@query(f"""SELECT doc_id, CASE WHEN len(list_intersect(t, {EN[:3]})) > 0 THEN 'modern' WHEN len(list_intersect(t, {FR[:3]})) > 0 THEN 'historical' WHEN len(list_intersect(t, {DE[:3]})) > 0 THEN 'scripture' ELSE 'modern' END AS context FROM (SELECT doc_id, {TOKENS} AS t FROM documents)""")
+_OLD = [r"(^|[^\p{L}])(gen|exod|ps|john) [0-9]+:[0-9]+", r"(^|[^\p{L}])(of the|de la|in der) "], [r"(^|[^\p{L}])(thus|was that|und der|et les)([^\p{L}]|$)"]
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{_OLD[0][0]}') OR regexp_matches(lower(text), '{_OLD[0][1]}') THEN 'scripture' WHEN regexp_matches(lower(text), '{_OLD[1][0]}') THEN 'historical' ELSE 'modern' END AS context FROM documents""")
 def context_detection(spark, sf):
-    t = T.tokens(F.col("text"))
-    has = lambda w: F.arrays_overlap(t, F.array(*map(F.lit, w)))
-    return docs(spark, sf).select("doc_id", F.when(has(EN[:3]), "modern").when(has(FR[:3]), "historical").when(has(DE[:3]), "scripture").otherwise("modern").alias("context"))
+    """References go before old phrases; the patterns are parameters."""
+    from heddle.functions.cleaning import context
+
+    return docs(spark, sf).select("doc_id", context(F.col("text"), *_OLD).alias("context"))
+
+
+_EVEN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_NO_MARKS = r"regexp_replace({}, '(?m)^#{{1,6}}\s+|^\s*[-*•]\s+', '', 'g')"
+_PAIRS = rf"""SELECT doc_id, {_EVEN.format("regexp_replace(" + _NO_MARKS.format("nfc_normalize(text)") + r", '[â€™Ã\x{80}-\x{9f}]', '', 'g')")} AS own,
+{_EVEN.format(r"regexp_replace(regexp_replace(regexp_replace(" + _NO_MARKS.format("text") + r", 'https?://[^\s]+|www\.[^\s]+', ' ', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', ' ', 'g'), '\+?[0-9][0-9 ()-]{7,}[0-9]', ' ', 'g')")} AS other FROM documents"""
+
+
+@query(rf"""SELECT doc_id, md5(own) AS own_md5, md5(other) AS other_md5 FROM ({_PAIRS}) WHERE own <> '' AND other <> '' AND NOT regexp_matches(lower(own), '(^|[^\p{{L}}])(der|und)([^\p{{L}}]|$)')""")
+def bilingual_cleaner(spark, sf):
+    """Both ways of cleaning over whole texts; texts with a forbidden word go."""
+    from heddle.functions.cleaning import bilingual
+
+    d = docs(spark, sf).select("doc_id", F.col("text").alias("own"), F.col("text").alias("other"))
+    return bilingual(d, "own", "other", r"(^|[^\p{L}])(der|und)([^\p{L}]|$)").select("doc_id", F.md5(F.col("own").cast("binary")).alias("own_md5"), F.md5(F.col("other").cast("binary")).alias("other_md5"))

@@ -108,12 +108,6 @@ def verification_checks(spark, sf):
     return load(spark, sf, "documents").groupBy("source").agg(failed.alias("failed")).withColumn("verdict", L.verdict(F.col("failed")))
 
 
-@query("""SELECT source, count(*) AS live, claimed, count(*) = claimed AS reconciled FROM documents JOIN (SELECT source, count(*) + (source = 'src2')::INTEGER AS claimed FROM documents GROUP BY 1) USING (source) GROUP BY source, claimed""")
-def import_reconciliation(spark, sf):
-    live = load(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("live"))
-    return live.withColumn("claimed", F.col("live") + (F.col("source") == "src2").cast("long")).withColumn("reconciled", F.col("live") == F.col("claimed"))
-
-
 @query("""SELECT 'orders' AS table_name, count(*) FILTER (WHERE o_orderkey IS NULL OR o_custkey IS NULL) AS incomplete, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FILTER (WHERE c_custkey IS NULL OR coalesce(c_name, '') = ''), count(*) FROM customer""")
 def key_completeness(spark, sf):
     n = F.count(F.lit(1)).alias("n")
@@ -133,3 +127,34 @@ def metric_evaluator(spark, sf):
     for m in every[1:]:
         out = out.unionByName(m)
     return out.select("metric", F.round("value", 2).alias("value"), F.when(F.col("value") > 50, "high").otherwise("low").alias("band"))
+
+
+@query("""WITH log AS (SELECT 'documents' AS table_name, count(*) AS rows_imported, CASE WHEN quality = 1 THEN 'completed' ELSE 'failed' END AS status FROM labels GROUP BY quality UNION ALL SELECT 'orders', count(*), 'completed' FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'psalms', count(*), 'completed' FROM documents GROUP BY lang),
+live AS (SELECT 'documents' AS table_name, count(*) AS live FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer)
+SELECT table_name, claimed, live, live - claimed AS difference, CASE WHEN live IS NULL THEN 'no table' WHEN live = claimed THEN 'ok' ELSE 'mismatch' END AS outcome FROM (SELECT table_name, sum(rows_imported)::BIGINT AS claimed FROM log WHERE status = 'completed' GROUP BY 1) LEFT JOIN live USING (table_name)""")
+def import_reconciliation(spark, sf):
+    """What import batches claim, by their states, against the live tables."""
+    n = F.count(F.lit(1))
+    batch = lambda table, by, name, status: load(spark, sf, table).groupBy(by).agg(n.alias("rows_imported")).select(F.lit(name).alias("table_name"), "rows_imported", status.alias("status"))
+    done = F.lit("completed")
+    log = batch("labels", "quality", "documents", F.when(F.col("quality") == 1, "completed").otherwise("failed")).unionByName(batch("orders", "o_orderstatus", "orders", done)).unionByName(batch("documents", "lang", "psalms", done))
+    one = lambda t: load(spark, sf, t).agg(n.alias("rows")).select(F.lit(t).alias("table_name"), "rows")
+    return L.reconciled(log, one("documents").unionByName(one("orders")).unionByName(one("customer")))
+
+
+_LIMITS = [("empty texts", "lower", 0.0, 5.0), ("languages", "higher", 9.0, 4.0), ("mean length", "higher", 100.0, None), ("longest", "lower", 10.0, 100.0), ("sources", "info", None, None), ("of no source", "lower", None, None), ("smallest label", None, -1.0, None), ("not measured", "lower", 1.0, 2.0)]
+
+
+@query("""WITH m AS (SELECT unnest([{'metric': 'empty texts', 'value': count(*) FILTER (WHERE coalesce(text, '') = '')::DOUBLE}, {'metric': 'languages', 'value': count(DISTINCT lang)::DOUBLE}, {'metric': 'mean length', 'value': avg(n_chars)}, {'metric': 'longest', 'value': max(n_chars)::DOUBLE}, {'metric': 'sources', 'value': count(DISTINCT source)::DOUBLE}, {'metric': 'of no source', 'value': count(*) FILTER (WHERE source IS NULL)::DOUBLE}, {'metric': 'not measured', 'value': NULL::DOUBLE}], recursive := true) FROM documents UNION ALL SELECT 'smallest label', min(quality)::DOUBLE FROM labels)
+SELECT metric, round(value, 4) AS value, CASE metric WHEN 'sources' THEN 'info' WHEN 'not measured' THEN 'absent' WHEN 'empty texts' THEN CASE WHEN value <= 0 THEN 'green' WHEN value <= 5 THEN 'amber' ELSE 'red' END
+WHEN 'languages' THEN CASE WHEN value >= 9 THEN 'green' WHEN value >= 4 THEN 'amber' ELSE 'red' END WHEN 'mean length' THEN CASE WHEN value >= 100 THEN 'green' ELSE 'amber' END
+WHEN 'longest' THEN CASE WHEN value <= 10 THEN 'green' WHEN value <= 100 THEN 'amber' ELSE 'red' END WHEN 'of no source' THEN 'amber' ELSE CASE WHEN value <= -1 THEN 'green' ELSE 'amber' END END AS status FROM m""")
+def metric_bands(spark, sf):
+    """Measured values against limits in both directions, some without a limit."""
+    from heddle.operators.routine import threshold_status
+
+    d, one = load(spark, sf, "documents"), lambda c: c.cast("double")
+    row = d.agg(one(F.count_if(F.coalesce("text", F.lit("")) == "")).alias("empty texts"), one(F.count_distinct("lang")).alias("languages"), F.avg("n_chars").alias("mean length"), one(F.max("n_chars")).alias("longest"), one(F.count_distinct("source")).alias("sources"), one(F.count_if(F.col("source").isNull())).alias("of no source"), F.lit(None).cast("double").alias("not measured"))
+    m = row.unpivot([], row.columns, "metric", "value").unionByName(load(spark, sf, "labels").agg(one(F.min("quality")).alias("value")).select(F.lit("smallest label").alias("metric"), "value"))
+    j = m.join(spark.createDataFrame(_LIMITS, "metric string, direction string, green double, amber double"), "metric")
+    return j.select("metric", F.round("value", 4).alias("value"), threshold_status(F.col("value"), F.col("direction"), F.col("green"), F.col("amber")).alias("status"))

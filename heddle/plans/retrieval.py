@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from heddle.functions import text as T
 from heddle.operators import corpus as C
 from heddle.operators import search as S
-from heddle.operators.rows import first_per_key
-from heddle.plans.fragments import D, TOK
+from heddle.plans.fragments import D, TOK, sql_list
 from heddle.plans.registry import query
 from heddle.tables import load
 
@@ -52,13 +51,6 @@ def tiered_evidence(spark, sf):
     return S.tiered(asked, [("name", names, 0.95), ("count", counts, 0.85), ("document", texts, 0.75)], 8)
 
 
-@query("""WITH h AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY lower(left(p_brand, 8)) ORDER BY p_retailprice DESC, p_partkey) AS r, p_name FROM part WHERE contains(lower(p_name), 'ring')) SELECT p_brand, p_partkey, p_name FROM h WHERE r <= 3""")
-def cross_lingual_search(spark, sf):
-    """The dictionary is chosen by a source key; contained matches of each, the three best."""
-    p = load(spark, sf, "part").where(F.lower("p_name").contains("ring")).withColumn("book", F.lower(F.substring("p_brand", 1, 8)))
-    return first_per_key(p, ["book"], [F.desc("p_retailprice"), F.asc("p_partkey")], 3).select("p_brand", "p_partkey", "p_name")
-
-
 @query(f"""WITH RECURSIVE d AS ({D}), b AS (SELECT word, next, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i])) AS word, unnest(list_transform(range(1, len(t)), lambda i: t[i + 1])) AS next FROM d) GROUP BY 1, 2),
 m AS (SELECT word, next FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, next) AS r FROM b) WHERE r = 1), c AS (SELECT 'the' AS word, ['the'] AS chain, 0 AS i UNION ALL SELECT next, list_append(chain, next), i + 1 FROM c JOIN m USING (word) WHERE i < 19 AND NOT list_contains(chain, next))
 SELECT i AS at, word FROM c""")
@@ -165,20 +157,28 @@ def error_detection_scores(spark, sf):
     return c.select(F.round(F.col("tp") / F.col("p"), 4).alias("precision"), F.round(F.col("tp") / F.col("g"), 4).alias("recall"), F.round(2 * F.col("tp") / (F.col("p") + F.col("g")), 4).alias("f1"), F.round(F.col("same") / F.col("n"), 4).alias("accuracy"))
 
 
-@query(f"""WITH d AS ({D}), u AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM d) GROUP BY 1), s AS (SELECT n, len(string_split(w, 'e')) AS gold, len(string_split(w, 'a')) AS pred FROM u)
-SELECT CASE WHEN n >= 100 THEN 'frequent' WHEN n >= 10 THEN 'middle' ELSE 'rare' END AS band, CASE WHEN pred > gold THEN 'over' WHEN pred < gold THEN 'under' ELSE 'equal' END AS error, count(*) AS words FROM s GROUP BY 1, 2""")
-def segmentation_errors(spark, sf):
-    """Over- and undersegmentation of words by frequency band, for two stand-in segmenters."""
-    n = C.ngram_counts(C.tokenized(load(spark, sf, "documents")), 1)
-    gold, pred = F.size(F.split("gram", "e")), F.size(F.split("gram", "a"))
-    band = F.when(F.col("count") >= 100, "frequent").when(F.col("count") >= 10, "middle").otherwise("rare")
-    return n.groupBy(band.alias("band"), F.when(pred > gold, "over").when(pred < gold, "under").otherwise("equal").alias("error")).agg(F.count(F.lit(1)).alias("words"))
+@query(f"""WITH e AS (SELECT conv_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{4,}}'))) AS term FROM conversations), n AS (SELECT conv_id, term, count(*) AS n FROM e WHERE term NOT IN {sql_list(_STOP)} GROUP BY 1, 2),
+k AS (SELECT conv_id, list(term ORDER BY term) AS t FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, term) AS r FROM n) WHERE r <= 20 GROUP BY 1),
+a AS (SELECT conv_id, p, coalesce(t, []) AS t FROM (SELECT conv_id, list(DISTINCT role) AS p FROM conversations GROUP BY 1) LEFT JOIN k USING (conv_id)), o AS (SELECT p AS q, t AS u FROM a WHERE conv_id = 0)
+SELECT conv_id AS id, coalesce(round(len(list_intersect(t, u)) / nullif(len(list_distinct(t || u)), 0), 4), 0)::DOUBLE AS topic_similarity, coalesce(round(len(list_intersect(p, q)) / nullif(len(list_distinct(p || q)), 0), 4), 0)::DOUBLE AS participant_overlap, array_to_string(list_sort(list_intersect(t, u)), ' ') AS shared FROM a, o WHERE conv_id <> 0""")
+def discussion_similarity(spark, sf):
+    """All discussions against the first one."""
+    return S.like_discussion(load(spark, sf, "conversations"), 0, _STOP)
 
 
-@query("""WITH t AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT a.source AS a, b.source AS b, round(count(*) / (SELECT count(DISTINCT lang) FROM documents), 4) AS similarity FROM t a JOIN t b ON a.lang = b.lang AND a.source < b.source GROUP BY 1, 2""")
-def discussion_similarity(spark, sf):
-    """Share of key terms that two discussions have in common; discussions and terms are few and counted first."""
-    t = load(spark, sf, "documents").select("source", "lang").distinct()
-    k = t.agg(F.count_distinct("lang").alias("k"))
-    j = t.select(F.col("source").alias("a"), "lang").join(t.select(F.col("source").alias("b"), "lang"), "lang").where("a < b")
-    return j.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(k)).select("a", "b", F.round(F.col("n") / F.col("k"), 4).alias("similarity"))
+_RELEVANCE = """(CASE WHEN coalesce({c}, '') = '' THEN 0.0 WHEN {c} = '{q}' THEN 1.0 WHEN starts_with({c}, '{q}') THEN 0.85 WHEN share > 0 THEN round(least(1.0, share * 0.7 + least(1.0, 0.5 + 0.5 * {k}.0 / len(t)) * 0.3), 4) WHEN contains({c}, '{q}') THEN 0.5 ELSE 0.0 END)::DOUBLE"""
+
+
+@query(f"""WITH d AS (SELECT p_partkey AS id, p_name AS source_term, p_type AS target_term, lower(p_name) AS n, list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda x: x <> '') AS t FROM part), s AS (SELECT *, list_contains(t, 'ring')::INTEGER / 1 AS share FROM d WHERE contains(n, 'ring'))
+SELECT id, source_term, target_term, {_RELEVANCE.format(c="n", q="ring", k=1)} AS relevance FROM s ORDER BY relevance DESC, id LIMIT 10""")
+def cross_lingual_search(spark, sf):
+    """The dictionary of the source language answers; here names to types, and back."""
+    p = load(spark, sf, "part")
+    books = {"name": p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("headword"), F.col("p_type").alias("meaning")), "type": p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("headword"), F.col("p_name").alias("meaning"))}
+    return S.cross_lingual(books, "Ring", "name")
+
+
+@query(f"""WITH d AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type || ' ' || p_brand) AS n FROM part), s AS (SELECT *, (list_contains(t, 'small')::INTEGER + list_contains(t, 'widget')::INTEGER) / 2 AS share FROM (SELECT *, list_filter(regexp_split_to_array(n, '\\s+'), lambda x: x <> '') AS t FROM d) WHERE contains(n, 'small') OR contains(n, 'widget'))
+SELECT id, {_RELEVANCE.format(c="n", q="small widget", k=2)} AS relevance FROM s ORDER BY relevance DESC, id LIMIT 25""")
+def topical_search(spark, sf):
+    return S.topical(load(spark, sf, "part"), "small widget", "p_partkey", ["p_name", "p_type", "p_brand"], 25)

@@ -11,7 +11,7 @@ from heddle.plans.registry import query
 from heddle.sources import marked as M
 from heddle.sources import readers as R
 from heddle.sources import writers as W
-from heddle.tables import NAMES, load
+from heddle.tables import load
 
 
 def place(spark, name):
@@ -152,11 +152,10 @@ def catalog_columns(spark, sf):
     return spark.createDataFrame(rows, "table_name string, column_name string, at int")
 
 
-@query(f"SELECT DISTINCT table_name FROM information_schema.columns WHERE table_name IN {_TABLES}")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, true AS there, count(*) AS n FROM {t}" for t in ("region", "orders", "benchmark")) + " UNION ALL SELECT 'psalms', false, 0)")
 def source_availability(spark, sf):
-    """Of the wanted tables those that are there."""
-    there = [t for t in ("region", "nation", "orders", "benchmark", "psalms") if t in NAMES]
-    return spark.createDataFrame([(t,) for t in there], "table_name string")
+    """Which of the wanted tables are there, and their rows."""
+    return R.availability(spark, sf, ["region", "orders", "benchmark", "psalms"])
 
 
 @query("SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || l_returnflag, ' ' ORDER BY l_linenumber, l_returnflag) AS verses FROM lineitem GROUP BY 1")

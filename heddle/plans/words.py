@@ -84,6 +84,15 @@ def syllable_errors(spark, sf):
     return w.groupBy(band.alias("band"), error.alias("error")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.size(F.array_intersect("a", "b"))).alias("shared"))
 
 
+@query(_MUNCHED + f""", r AS (SELECT len(parts) AS pred, len({_SYL}) AS gold, parts = ({_SYL}) AS same FROM m JOIN w USING (word))
+SELECT least(gold, 6)::INTEGER AS gold, CASE WHEN same THEN 'equal' WHEN pred > gold THEN 'over' WHEN pred < gold THEN 'under' ELSE 'shifted' END AS error, count(*) AS words FROM r GROUP BY ALL""")
+def segmentation_errors(spark, sf):
+    """Longest match against the vowel rule by how many syllables a word has, six and more as one."""
+    w = G.max_munch(_words(spark, sf), MUNCH).withColumn("gold", P.syllables(F.col("word"), SOUNDS))
+    error = F.when(F.col("syllables") == F.col("gold"), "equal").when(F.size("syllables") > F.size("gold"), "over").when(F.size("syllables") < F.size("gold"), "under").otherwise("shifted")
+    return w.groupBy(F.least(F.size("gold"), F.lit(6)).alias("gold"), error.alias("error")).agg(F.count(F.lit(1)).alias("words"))
+
+
 @query(f"""WITH RECURSIVE w AS (SELECT word, count(*) AS n FROM (SELECT unnest(t) AS word FROM ({D})) GROUP BY 1), r AS (SELECT word AS part FROM w WHERE n >= 20 AND length(word) >= 3),
 s AS (SELECT word, word AS rest, []::VARCHAR[] AS parts FROM w WHERE length(word) >= 6
 UNION ALL SELECT word, rest, parts FROM (SELECT word, substr(s.rest, length(r.part) + 1) AS rest, parts || [r.part] AS parts, row_number() OVER (PARTITION BY word ORDER BY length(r.part) DESC) AS p FROM s JOIN r ON starts_with(s.rest, r.part) AND length(r.part) < length(word) WHERE s.rest <> '' AND len(parts) < 6) WHERE p = 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,6 +114,20 @@ def select_sources(known: list[Source], names: list[str] | None) -> list[Source]
     return [s for s in known if s.name in names]
 
 
+def availability(spark: SparkSession, sf_dir: str, tables: list[str]) -> DataFrame:
+    """(table_name, there, n): the rows of each wanted table (from the files' footers), 0 where there is none."""
+    out = None
+    for t in tables:
+        try:
+            df = spark.read.parquet(f"{sf_dir}/{t}.parquet").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), F.lit(True).alias("there"), "n")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            df = spark.createDataFrame([(t, False, 0)], "table_name string, there boolean, n long")
+        out = df if out is None else out.unionByName(df)
+    return out if out is not None else spark.createDataFrame([], "table_name string, there boolean, n long")
+
+
 def sentences_of(spark: SparkSession, sf_dir: str, sources: list[Source]) -> DataFrame:
     """(source_id, document_id, text) of all sources; blank texts are left out."""
     out = None
