@@ -157,6 +157,9 @@ def error_detection_scores(spark, sf):
     return c.select(F.round(F.col("tp") / F.col("p"), 4).alias("precision"), F.round(F.col("tp") / F.col("g"), 4).alias("recall"), F.round(2 * F.col("tp") / (F.col("p") + F.col("g")), 4).alias("f1"), F.round(F.col("same") / F.col("n"), 4).alias("accuracy"))
 
 
+_STOP = ["with", "that", "this", "from", "dans", "pour"]
+
+
 @query(f"""WITH e AS (SELECT conv_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{4,}}'))) AS term FROM conversations), n AS (SELECT conv_id, term, count(*) AS n FROM e WHERE term NOT IN {sql_list(_STOP)} GROUP BY 1, 2),
 k AS (SELECT conv_id, list(term ORDER BY term) AS t FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, term) AS r FROM n) WHERE r <= 20 GROUP BY 1),
 a AS (SELECT conv_id, p, coalesce(t, []) AS t FROM (SELECT conv_id, list(DISTINCT role) AS p FROM conversations GROUP BY 1) LEFT JOIN k USING (conv_id)), o AS (SELECT p AS q, t AS u FROM a WHERE conv_id = 0)
