@@ -41,15 +41,15 @@ def entities(c: Column) -> Column:
 
 def carried(df: DataFrame, states: dict[str, Column], ahead: bool = False, itself: bool = False) -> DataFrame:
     """df (file, block, at, ...) with, by name, the last value that is not null before each row in its file, or the next one after it (`ahead`); `itself`: or that of the row."""
-    edge = 0 if itself else (1 if ahead else -1)
-    rows = lambda w, near: w.rowsBetween(near, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, near)
-    pick, pick_by = (F.first, F.min_by) if ahead else (F.last, F.max_by)
+    # frames that end at the row are summed up as they grow; "ahead" reads the rows backwards
+    way = F.desc if ahead else F.asc
+    before = lambda key, at, near: Window.partitionBy(*key).orderBy(way(at)).rowsBetween(Window.unboundedPreceding, near)
     df = df.withColumns({f"__{n}": c for n, c in states.items()})
+    pick_by = F.min_by if ahead else F.max_by
     ends = df.groupBy("file", "block").agg(*[pick_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col("at"))).alias(f"__of_{n}") for n in states])
-    over = rows(Window.partitionBy("file").orderBy("block"), 1 if ahead else -1)
-    ends = ends.select("file", "block", *[pick(f"__of_{n}", True).over(over).alias(f"__far_{n}") for n in states])
-    inside = rows(Window.partitionBy("file", "block").orderBy("at"), edge)
-    near = df.withColumns({f"__near_{n}": pick(f"__{n}", True).over(inside) for n in states}).join(ends, ["file", "block"])
+    ends = ends.select("file", "block", *[F.last(f"__of_{n}", True).over(before(["file"], "block", -1)).alias(f"__far_{n}") for n in states])
+    inside = before(["file", "block"], "at", 0 if itself else -1)
+    near = df.withColumns({f"__near_{n}": F.last(f"__{n}", True).over(inside) for n in states}).join(ends, ["file", "block"])
     return near.withColumns({n: F.coalesce(f"__near_{n}", f"__far_{n}") for n in states}).drop(*[f"{p}{n}" for n in states for p in ("__", "__near_", "__far_")])
 
 
