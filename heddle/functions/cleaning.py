@@ -71,9 +71,13 @@ def cleaned_json(c: Column, keys: list[str]) -> Column:
     return F.to_json(F.transform_values(m, lambda k, v: F.when(k.isin(*keys), T.collapse(v)).otherwise(v)))
 
 
-def heading_chunks(c: Column, most: int = 1200, least: int = 60) -> Column:
-    """Chunks that begin at a heading (#) or behind a blank line; those below `least` go, longer ones are cut at `most` characters."""
-    parts = F.transform(F.split(c, r"\n(?=#)|\n\s*\n"), F.trim)
+#: A heading (#) or a blank line; white space as the SQL's regular expressions have it.
+HEADINGS = r"\n(?=#)|\n[ \t\n\f\r]*\n"
+
+
+def heading_chunks(c: Column, most: int = 1200, least: int = 60, cuts: str = HEADINGS) -> Column:
+    """Chunks that begin at a heading (#) or behind a blank line, without spaces of any kind (Zs) at the ends; those below `least` go, longer ones are cut at `most` characters."""
+    parts = F.transform(F.split(c, cuts), lambda x: F.regexp_replace(x, r"\A\p{Zs}+|\p{Zs}+\z", ""))
     cut = F.transform(F.filter(parts, lambda x: F.length(x) >= least), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int")), lambda i: F.substring(x, i * most + 1, F.lit(most))))
     return F.flatten(cut)
 
