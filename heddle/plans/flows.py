@@ -66,12 +66,16 @@ f AS (SELECT address, page_id, html, 60 + page_id * 60 AS sec FROM p UNION ALL S
 
 
 def _crawled(spark, sf) -> str:
-    """All pages fetched, and again a day and more later by a second run, when a third has changed; returns the folder of both streams."""
+    """All pages fetched, and again a day and more later by a second run, when a third has changed; returns the folder of both streams.
+
+    Fetches come in the order of time: where the first run still goes on when the second begins, its later fetches come with the second's.
+    """
     root = f"{checkpoints(spark)}/crawl-{uuid.uuid4().hex}"
     p = load(spark, sf, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("text"))
     first = p.withColumn("at", F.timestamp_seconds(60 + F.col("page_id") * 60))
     again = p.withColumn("text", F.when(F.col("page_id") % 3 == 0, F.concat("text", F.lit("<!-- new -->"))).otherwise(F.col("text"))).withColumn("at", F.timestamp_seconds(1_000_000 + F.col("page_id") * 60))
-    for delivery in (first, again):
+    fetched, second = first.unionByName(again), F.timestamp_seconds(F.lit(1_000_000))
+    for delivery in (fetched.where(F.col("at") < second), fetched.where(F.col("at") >= second)):
         delivery.write.mode("append").parquet(f"{root}/in")
         fetched = C.fetches(spark.readStream.schema(delivery.schema).parquet(f"{root}/in"))
         C.run(C.frontier(fetched), f"{root}/events", f"{root}/addresses")

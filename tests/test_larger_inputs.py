@@ -33,3 +33,9 @@ def test_chunks_behind_blank_lines(spark, tmp_path):
     long = "word " * 70
     texts = [f"{long}\n\n{long}", f"a\n \t\n# {long}", f"\u00a0{long}\u2003", f"{long}\n\x0b\n{long}", f"{long}\x01{long}", f"{long}  \n", "x" * 60, "x" * 59, None, "", f"{long}. \n\n. {long}", "y" * 58 + "\n\n" + "z" * 59]
     assert len(equals_sql(spark, tmp_path, "heading_chunks", documents=documents(spark, texts))) == 9
+
+
+@pytest.mark.parametrize("name", ["crawl_frontier", "saved_text_state"])
+def test_a_first_run_that_goes_on_when_the_second_begins(spark, tmp_path, name):
+    pages = [(1, "http://a/x", "one"), (3, "http://a/y", "two"), (17_000, "http://a/x", "three"), (40_000, "http://a/y", "one"), (90_000, "http://a/z", "four")]
+    equals_sql(spark, tmp_path, name, pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
