@@ -60,8 +60,10 @@ def words(store: Versions) -> DataFrame | None:
 
 def _word_differences(affected: DataFrame) -> DataFrame:
     def of(text: str, sign: int) -> DataFrame:
-        t = affected.select(T.tokens(F.col(text)).alias("t")).select(F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("word"), F.size(F.filter("t", lambda x: x == w)).alias("n")))).alias("e"))
-        return t.select("e.word", (F.col("e.n") * sign).cast("long").alias("n"), F.lit(sign).cast("long").alias("n_records"))
+        # a row for each token and one for each distinct token: work grows with a text's length, not with its square
+        one = lambda n, n_records: lambda w: F.struct(w.alias("word"), F.lit(n).cast("long").alias("n"), F.lit(n_records).cast("long").alias("n_records"))
+        t = affected.where(F.col(text).isNotNull()).select(T.tokens(F.col(text)).alias("t"))
+        return t.select(F.explode(F.concat(F.transform("t", one(sign, 0)), F.transform(F.array_distinct("t"), one(0, sign)))).alias("e")).select("e.*")
 
     both = of("new_text", 1).unionByName(of("old_text", -1))
     return both.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_records").alias("n_records")).where("n <> 0 or n_records <> 0")
@@ -88,10 +90,12 @@ def apply_batch(store: Versions, batch: DataFrame, batch_id: int, stream: str =
     if log is None:
         current = store.spark.createDataFrame([], f"{key} {dict(last.dtypes)[key]}, content_hash string, text string")
     else:
-        own = log.join(last.select(key), key, "left_semi")  # the log's rows of the batch's keys alone are compared
+        own = log.join(batch.select(key).distinct(), key, "left_semi")  # the log's rows of the batch's keys alone are compared
         newest = own.groupBy(key).agg(F.max_by(F.struct("deleted", "content_hash", "text"), "seq").alias("r"))
         current = newest.where("not r.deleted").select(key, "r.content_hash", "r.text")
     compared = changes(last, current, key)
+    moved = F.col("status") != "unchanged"  # unchanged rows are counted alone
+    compared = compared.withColumns({c: F.when(moved, F.col(c)) for c in ("text", "old_text")})
     compared.write.parquet(f"{work}/compared")
     compared = store.spark.read.schema(compared.schema).parquet(f"{work}/compared")
     n = {r.status: r["count"] for r in compared.groupBy("status").count().collect()}

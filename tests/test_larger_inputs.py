@@ -39,3 +39,16 @@ def test_chunks_behind_blank_lines(spark, tmp_path):
 def test_a_first_run_that_goes_on_when_the_second_begins(spark, tmp_path, name):
     pages = [(1, "http://a/x", "one"), (3, "http://a/y", "two"), (17_000, "http://a/x", "three"), (40_000, "http://a/y", "one"), (90_000, "http://a/z", "four")]
     equals_sql(spark, tmp_path, name, pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
+
+
+def test_word_differences_of_long_texts(spark):
+    def seconds(n: int) -> float:
+        text = " ".join("".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(n))
+        rows = spark.createDataFrame([(text, "gone gone " + text)], "new_text string, old_text string")
+        t = time.monotonic()
+        found = {(r.word, r.n, r.n_records) for r in U._word_differences(rows).where(F.col("word") == "gone").collect()}
+        assert found == {("gone", -2, -1)}
+        return time.monotonic() - t
+
+    seconds(10)
+    assert seconds(40_000) < 20  # by the square of a text's length it took minutes
