@@ -89,3 +89,38 @@ def test_empty_and_null(spark, tmp_path):
     assert O.build(store, O.sentences(docs.where("false")), SETTINGS)["words"] == 0
     said = O.build(store, O.sentences(docs), SETTINGS)
     assert (said["sentences"], said["words"], said["version"]) == (2, 2, 2)
+
+
+def test_counts_do_not_depend_on_how_rows_are_held(spark, tmp_path, monkeypatch):
+    """Tallies that are sent early, words whose rows are added up as they come, documents that lie apart, rows that come twice."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from heddle.operators import word_tallies as W
+
+    said = [("s", str(d), k, [f"w{(d * k + j) % 7}" for j in range(5)] + ["the"]) for d in range(9) for k in range(4)]
+    said = said[::2] + said[1::2]
+
+    def batches():
+        for s in range(0, len(said), 5):
+            rows = said[s : s + 5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64()), pa.array([" ".join(r[3]) for r in rows]), pa.nulls(len(rows), pa.list_(pa.string())), pa.array([r[3] for r in rows]), pa.array([4] * len(rows), pa.int64())], names=list("abcdefg"))
+
+    def found():
+        t = pa.Table.from_batches(list(W.tallies(2)(batches())))
+        words = sorted(set(t["word"].to_pylist()))
+        t = t.append_column("h", pa.array([words.index(w) // 2 for w in t["word"].to_pylist()], pa.int64())).sort_by("h")
+        return sorted((r for b in W.sums(3, 2)(iter(t.to_batches(max_chunksize=3))) for r in b.to_pylist()), key=lambda r: (r["word"], r["partner"] or ""))
+
+    want = found()
+    the = next(r for r in want if r["word"] == "the" and r["partner"] is None)
+    assert (the["frequency"], the["sent_freq"], the["doc_freq"], the["source_count"]) == (36, 36, 9, 1)
+    left = Counter(t[i] for *_, t in said for i in (3, 4))
+    assert [(x["key"], x["n"]) for x in the["left"]] == sorted(left.items(), key=lambda x: (-x[1], x[0]))[:3] and the["right"] is None
+    for name in ("RAW_PAIRS", "PAIRS", "WORDS", "CHUNK"):
+        monkeypatch.setattr(W, name, 1)
+    assert found() == want
+    store = Versions(spark, str(tmp_path / "s"))
+    assert O.build(store, rows(spark, [*ROWS, ROWS[0], ("verse:a", "TEST", 0, "a earlier")]), SETTINGS)["sentences"] == 4
+    assert store.read("observations").where("document_id = 'TEST'").first().text == "a earlier"
