@@ -52,3 +52,37 @@ def test_word_differences_of_long_texts(spark):
 
     seconds(10)
     assert seconds(40_000) < 20  # by the square of a text's length it took minutes
+
+
+def test_shingle_pairs_without_shuffled_shingles(spark, monkeypatch):
+    """Equal to brute force over several blocks; of texts from one vocabulary only alike ones are compared, and no shingle is shuffled."""
+    import random
+
+    from heddle.operators import dedup
+
+    monkeypatch.setattr(dedup, "BLOCK", 20, raising=False)
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefgé") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    texts = []
+    for size in [3, 10, 40, 200] * 8:
+        base = [r.choice(words) for _ in range(size)]
+        for _ in range(4):
+            t = list(base)
+            for _ in range(r.randint(0, max(1, size // 15))):
+                t[r.randrange(size)] = r.choice(words)
+            texts.append(" ".join(t))
+    texts += ["abcd", "abcde", "ABCDE", "", None]
+    sets, heads, want = {}, {}, set()
+    for k, t in enumerate(texts):
+        if t and len(t) >= 5 and heads.setdefault(t.lower(), k) == k:
+            sets[k] = {t.lower()[i : i + 5] for i in range(len(t) - 4)}
+        elif t and len(t) >= 5:
+            want.add((heads[t.lower()], k, 1.0))
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                want.add((a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 4)))
+    found = dedup.shingle_pairs(documents(spark, texts), "doc_id", "text")
+    assert {tuple(x) for x in found.collect()} == want and len(want) > 50
+    # before, every shingle of every text was exploded, counted and joined
+    assert "explode(s" not in found._jdf.queryExecution().toString() and "Window" not in found._jdf.queryExecution().toString()
