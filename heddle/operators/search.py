@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from heddle.functions import text as T
 from heddle.operators.rows import first_per_key
 
+#: Scores of queries by vectors that a task holds at once.
+CELLS = 2_000_000
+
 
 def postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf, length): an inverted index over (doc_id, tokens)."""
@@ -85,8 +88,9 @@ def _best_of_blocks(k: int, floor: float):
                     continue
                 if block is None:
                     block = tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else ()
-                for start in range(0, (j - i) if block else 0, 256):  # a matrix of 256 queries by one block
-                    some = slice(start, start + 256)
+                step = min(256, max(1, CELLS // len(block[0]))) if block else 1
+                for start in range(0, (j - i) if block else 0, step):  # a matrix of some queries by one block
+                    some = slice(start, start + step)
                     yield _best(ids[i:j][some], x[some], *block, k, floor, schema)
 
     return run

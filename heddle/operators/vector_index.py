@@ -23,6 +23,8 @@ from heddle.operators.search import _best_of_blocks
 from heddle.sources.versions import Versions
 
 SAMPLE, CENTROIDS, RING, MOST = 20_000, 256, 3.0, 50_000
+#: Queries by parts whose bounds a task holds at once.
+BOUNDS = 50_000
 
 
 def _units(m: np.ndarray) -> np.ndarray:
@@ -124,9 +126,9 @@ def _bounded(centres: np.ndarray, parts: np.ndarray, k: int, floor: float, found
     cluster, ring, n, low, high = parts.T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        # a few queries at once: one may have to read every part, with its vector in each of these rows
+        step = max(1, BOUNDS // max(len(parts), 1))
+        for b in (whole.slice(s, step) for whole in batches for s in range(0, whole.num_rows, step)):
             unit = _units(np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1))
             angle = np.degrees(np.arccos(np.clip(unit @ centres.T, -1, 1)))[:, cluster.astype(int)]
             bound = np.maximum(np.maximum(angle - high, low - angle), 0)

@@ -86,3 +86,24 @@ def test_shingle_pairs_without_shuffled_shingles(spark, monkeypatch):
     assert {tuple(x) for x in found.collect()} == want and len(want) > 50
     # before, every shingle of every text was exploded, counted and joined
     assert "explode(s" not in found._jdf.queryExecution().toString() and "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_bounds_of_many_queries_and_parts():
+    """Queries that must read every part give batches of bounded size (before, one batch with a row for each query and part)."""
+    import numpy as np
+    import pyarrow as pa
+
+    from heddle.operators import vector_index as VI
+
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(100, 8))
+    centres /= np.sqrt((centres**2).sum(1, keepdims=True))
+    parts = np.array([(c, ring, 5, 0.0, 180.0) for c in range(100) for ring in range(4)])
+    v = pa.FixedSizeListArray.from_arrays(pa.array(r.normal(size=8 * 1000)), 8).cast(pa.list_(pa.float64()))
+    b = pa.RecordBatch.from_arrays([pa.array(range(1000)), v, pa.nulls(1000, pa.float64())], names=["id", "v", "kth"])
+    out = [list(VI._bounded(centres, parts, 10, -1.0, found)(iter([b]))) for found in (False, True)]
+    assert max(x.num_rows for some in out for x in some) <= 50_000
+    read = [(i, c, g) for some in out for x in some for i, c, g in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+    assert len(read) == len(set(read)) == 1000 * 400
+    first = pa.Table.from_batches(out[1]).slice(0, 3).to_pylist()
+    assert [x["v"] for x in first] == [v[x["id"]].as_py() for x in first]
