@@ -107,3 +107,32 @@ def test_bounds_of_many_queries_and_parts():
     assert len(read) == len(set(read)) == 1000 * 400
     first = pa.Table.from_batches(out[1]).slice(0, 3).to_pylist()
     assert [x["v"] for x in first] == [v[x["id"]].as_py() for x in first]
+
+
+def test_discovery_counts_are_added_up_in_tasks(spark, monkeypatch):
+    """Equal to counts of single tokens, however early a task sends them; no row a token is made."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from heddle.operators import discovery_run as R
+    from heddle.operators import word_tallies as W
+
+    said = [[f"w{(d * k + j) % 5}" for j in range(k % 4)] + ["not"] * (d % 2) for d in range(6) for k in range(9)]
+    want = Counter(("word", w, "") for t in said for w in t) + Counter(("pair", *p) for t in said for p in zip(t, t[1:], strict=False))
+    want += Counter({("marker", "negation", "not"): sum("not" in t for t in said), ("pattern", "c", "p"): len(said)})
+
+    def found() -> Counter:
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.string())), pa.array(["c"] * len(x)), pa.array(["p"] * len(x))], names=list("tcp")) for x in (said[:20], said[20:21], said[21:])]
+        out = Counter()
+        for b in R._tallied([("negation", "not"), ("negation", "never")])(iter(batches)):
+            for r in b.to_pylist():
+                out[r["kind"], r["a"], r["b"]] += r["n"]
+        return out
+
+    assert found() == want
+    for name in ("RAW_PAIRS", "PAIRS", "WORDS"):
+        monkeypatch.setattr(W, name, 1)
+    assert found() == want
+    plan = R.counts(documents(spark, ["A b. Not c"]), R.Rules({}, {}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "transform" not in plan.split("MapInArrow")[0]
